@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, records
+from trackmill.llm import bpe, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
@@ -21,6 +21,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), count(3).alias("n_entropy"), F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -39,6 +53,8 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_secrets": op2_secrets,
+        "op3_quality_rules": op3_quality_rules,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_substring": op5_substring,
         "op8_records": op8_records,
@@ -46,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": sql.secret_scan(), "op3_quality_rules": sql.quality_rules()}
