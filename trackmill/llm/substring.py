@@ -28,7 +28,7 @@ from trackmill.llm.common import batches, mix, rolling, settle, text_bytes, word
 #: Edges that one bucket should hold.
 BUCKET_EDGES = 2_000_000
 #: Bytes of text in a slice.
-SLICE = 24 << 20
+SLICE = 6 << 20
 
 
 def _edges_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +61,8 @@ _DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("edge
 
 
 def _answers(edges: np.ndarray, docs: np.ndarray, sources: np.ndarray) -> list[pa.Array]:
-    """doc_id, edges and sources columns, one row for each document."""
-    order = np.argsort(docs, kind="stable")
+    """doc_id, edges and sources columns, one row for each document; equal sources stand together and pack well."""
+    order = np.lexsort((sources, docs))
     edges, docs, sources = edges[order], docs[order], sources[order]
     cuts = _cuts(docs)
     return [pa.array(docs[cuts[:-1]]), _packed(edges, cuts), _packed(sources, cuts)]
