@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, language, quality_rules, records, secrets, sql
+from trackmill.llm import bpe, language, lm, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
@@ -46,6 +46,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_substring": op5_substring,
+        "op6_lm_score": op6_lm_score,
         "op7_language": op7_language,
         "op8_records": op8_records,
     }
