@@ -8,6 +8,8 @@ so the Arrow operators work on UTF-8 bytes and never decode a text to split it.
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,18 +41,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without running
-    what came before again. Afterwards the JVM is asked for a collection, on which
-    Spark's cleaner frees the shuffle files of the plan that just ended.
+    what came before again. With ``free`` the JVM is then asked for collections, on which
+    Spark's cleaner removes the shuffle files of the plan that just ended.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(3 * free):  # the plan goes when its Python handle and the events that carry it are gone
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(schema).parquet(path)
 
 

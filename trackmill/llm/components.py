@@ -22,12 +22,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
-    now = settle(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc")
+    now = settle(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc", free=False)
     seen = _digest(now)
     for _ in range(max_rounds):
         if not seen[0]:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        new = settle(_round(now), "cc")
+        new = settle(_round(now), "cc", free=False)
         digest = _digest(new)
         discard(spark, now)
         now = new

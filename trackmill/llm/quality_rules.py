@@ -109,7 +109,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     A null or empty text has no words and fails the base rules. Labels may be empty: then only the base
     rules hold.
     """
-    found = settle(features(docs), "quality")
+    found = settle(features(docs), "quality", free=False)
     ruled = found.join(calibrate(found, labels, risk, delta), "stratum", "left")
     broken = F.array(*[F.when(F.expr(f"{feature} > element_at(cutoffs, '{rule}')"), F.lit(rule)) for rule, (feature, _) in RULES.items()])
     first = F.get(F.filter(broken, lambda r: r.isNotNull()), F.lit(0))

@@ -56,8 +56,8 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-_DEALT = "bucket int, doc_id long, edges binary, docs binary, sources binary"
-_DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("edges", pa.binary()), ("docs", pa.binary()), ("sources", pa.binary())])
+_DEALT = "bucket int, docs binary, edges binary, sources binary"
+_DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("edges", pa.binary()), ("sources", pa.binary())])
 
 
 def _answers(edges: np.ndarray, docs: np.ndarray, sources: np.ndarray) -> list[pa.Array]:
@@ -77,6 +77,19 @@ def _resolve(edges: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, first, docs[order][np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))]
 
 
+def _by_block(edges: np.ndarray, docs: np.ndarray, sources: np.ndarray, blocks: int) -> list[pa.Array]:
+    """block, docs, edges and sources columns, one row for each block of documents."""
+    block = _block(docs, blocks)
+    order = np.lexsort((sources, docs, block))
+    edges, docs, sources, block = edges[order], docs[order], sources[order], block[order]
+    cuts = _cuts(block)
+    return [pa.array(block[cuts[:-1]]), _packed(docs, cuts), _packed(edges, cuts), _packed(sources, cuts)]
+
+
+def _block(docs: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+
+
 def _deal(rows: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows, SLICE):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -95,27 +108,33 @@ def _deal(rows: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[
         by = np.lexsort((d, bucket))
         bucket, e, d = bucket[by], e[by], d[by]
         cuts = _cuts(bucket)
-        none = pa.nulls(len(cuts) - 1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), none, _packed(e, cuts), _packed(d, cuts), pa.nulls(len(none), pa.binary())], schema=_DEALT_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), _packed(d, cuts), _packed(e, cuts), pa.nulls(len(cuts) - 1, pa.binary())], schema=_DEALT_ARROW)
         if again.any():
-            doc, found, src = _answers(edges[again], docs[again], source[again])
-            at = (mix(np.asarray(doc).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), doc, found, pa.nulls(len(doc), pa.binary()), src], schema=_DEALT_ARROW)
+            yield pa.RecordBatch.from_arrays(_by_block(edges[again], docs[again], source[again], buckets), schema=_DEALT_ARROW)
+
 
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packed docs, edges and sources of some rows, end to end."""
+    return tuple(np.frombuffer(b"".join(x or b"" for x in rows[c].to_pylist()), t) for c, t in (("docs", np.int64), ("edges", np.uint64), ("sources", np.int64)))
 
-def _bucket(group: pa.Table) -> pa.Table:
-    """Answers of one bucket, and the answers that slices gave already, passed through."""
-    given = group.filter(group["doc_id"].is_valid()).select(["doc_id", "edges", "sources"])
-    asked = group.filter(group["doc_id"].is_null())
-    edges = np.frombuffer(b"".join(asked["edges"].to_pylist()), np.uint64)
-    docs = np.frombuffer(b"".join(asked["docs"].to_pylist()), np.int64)
+
+def _bucket(group: pa.Table, blocks: int) -> pa.Table:
+    """Answers of one bucket by block of documents; those that slices gave already pass through."""
+    docs, edges, _ = _arrays(group.filter(group["sources"].is_null()))
+    given_docs, given, given_sources = _arrays(group.filter(group["sources"].is_valid()))
     order, first, source = _resolve(edges, docs)
     edges, docs = edges[order], docs[order]
     fresh = np.ones(len(edges), bool)
     fresh[1:] = first[1:] | (docs[1:] != docs[:-1])
     again = (docs > source) & fresh
-    found = pa.table(_answers(edges[again], docs[again], source[again]), names=["doc_id", "edges", "sources"])
-    return pa.concat_tables([given, found])
+    found = np.concatenate([edges[again], given]), np.concatenate([docs[again], given_docs]), np.concatenate([source[again], given_sources])
+    return pa.table(_by_block(*found, blocks), names=["block", "docs", "edges", "sources"])
+
+
+def _document(group: pa.Table) -> pa.Table:
+    """The answers of one block, a row for each document."""
+    docs, edges, sources = _arrays(group)
+    return pa.table(_answers(edges, docs, sources), names=["doc_id", "edges", "sources"])
 
 
 def spans_of(text: bytes | None, answered: np.ndarray, width: int) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -136,7 +155,7 @@ def _apply(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatc
         found: tuple[list, list, list] = ([], [], [])
         spans = []
         for text, edges in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            answered = np.frombuffer(b"".join(edges), np.uint64) if edges else np.empty(0, np.uint64)
+            answered = np.frombuffer(edges, np.uint64) if edges else np.empty(0, np.uint64)
             words, ranges = spans_of(text, answered, width)
             kept, at = [], 0
             for start, end in ranges:
@@ -158,7 +177,12 @@ def repeated_edges(docs: DataFrame, width: int = 13) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, round(size / 6 / BUCKET_EDGES))
     dealt = rows.mapInArrow(partial(_deal, width=width, buckets=buckets), _DEALT)
-    return dealt.groupBy("bucket").applyInArrow(_bucket, "doc_id long, edges binary, sources binary")
+
+    def answer(group: pa.Table) -> pa.Table:
+        return _bucket(group, buckets)
+
+    answers = dealt.groupBy("bucket").applyInArrow(answer, "block int, docs binary, edges binary, sources binary")
+    return settle(answers, "edges").groupBy("block").applyInArrow(_document, "doc_id long, edges binary, sources binary")
 
 
 def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -169,7 +193,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     A null text has no words. A row without doc_id neither loses words nor takes others'. Rows that
     share a doc_id are one document in several rows: each is judged alone and against smaller ids.
     """
-    answers = settle(repeated_edges(docs, width), "edges").groupBy("doc_id").agg(F.collect_list("edges").alias("edges"))
+    answers = repeated_edges(docs, width).select("doc_id", "edges")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(answers, "doc_id", "left").select("doc_id", "text", "edges")
+    joined = rows.join(answers, "doc_id", "left")
     return joined.mapInArrow(partial(_apply, width=width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
