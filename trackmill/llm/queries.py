@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, language, lm, quality_rules, records, secrets, sql
+from trackmill.llm import bpe, decontaminate, language, lm, quality_model, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
@@ -58,6 +58,14 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(records.record_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -68,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lm_score": op6_lm_score,
         "op7_language": op7_language,
         "op8_records": op8_records,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_quality_model": op10_quality_model,
     }
 
 
