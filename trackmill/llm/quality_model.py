@@ -2,7 +2,8 @@
 
 Heuristic labellers look at a text and each votes good, bad or nothing. They overlap and err, so a
 latent-class model (Dawid and Skene) estimates by expectation-maximisation how each labeller votes on
-good and on bad texts, without any true label. It needs only how often each pattern of votes occurs,
+good and on bad texts, without any true label. A silent labeller says nothing about a text, so short
+texts, on which most are silent, aren't bad for that. It needs only how often each pattern of votes occurs,
 a table whose size the number of labellers bounds, counted over all documents. The posterior of a
 document's pattern is its label for a linear scorer over hashed words and word shapes, which then
 also judges texts on which most labellers are silent. The scorer is fitted on a bounded sample,
@@ -55,15 +56,15 @@ def votes(text: bytes, words: list[bytes]) -> list[int]:
     shout, again = upper / max(1, upper + lower), 1 - len(set(lines)) / max(1, len(lines))
     ended = text.count(b".") / n
     return [
-        _vote(n < 3, n >= 60),
+        _vote(n < 2, n >= 60),
         _vote(mean > 14 or mean < 2, 3 <= mean <= 9),
         _vote(symbols > 0.05 * letters, symbols * 200 < letters),
         _vote(shout > 0.3, shout < 0.12),
-        _vote(marks > 0.1 * n, False),
+        _vote(marks > 0.1 * n, marks <= 0.02 * n),
         _vote(stuck > 0.15, stuck < 0.02 and n >= 20),
         _vote(n >= 40 and distinct < 0.2, n >= 40 and distinct > 0.35),
         _vote(n >= 20 and common < 0.03, common > 0.12),
-        _vote(len(lines) >= 3 and again > 0.3, False),
+        _vote(len(lines) >= 3 and again > 0.3, len(lines) >= 3 and again < 0.1),
         _vote(n >= 30 and ended < 0.005, ended > 0.03),
     ]
 
@@ -91,18 +92,19 @@ class LabelModel:
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> None:
         self.prior = np.array([0.2, 0.8])
-        self.rates = np.full((2, LABELLERS, 3), 1 / 3)
+        self.rates = np.full((2, LABELLERS, 2), 0.5)
         if not len(patterns):
             return
         cast = patterns[:, None] // _POWERS % 3
         good, bad = (cast == GOOD).sum(axis=1), (cast == BAD).sum(axis=1)
         p = np.clip((good + 1) / (good + 3 * bad + 2), 0.02, 0.98)  # to begin with a bad vote weighs more: labellers find faults
-        hot = np.eye(3)[cast]
+        hot = np.eye(3)[cast][:, :, :2]
         last = -np.inf
         for _ in range(rounds):
             both = np.stack([1 - p, p]) * counts
             self.prior = (both.sum(axis=1) + 1) / (counts.sum() + 2)
-            self.rates = (np.einsum("kp,plv->klv", both, hot) + 0.5) / (both.sum(axis=1)[:, None, None] + 1.5)
+            seen = np.einsum("kp,plv->klv", both, hot) + 0.5
+            self.rates = seen / seen.sum(axis=2, keepdims=True)
             logs = self._logs(cast)
             top = logs.max(axis=0)
             total = float((counts * (top + np.log(np.exp(logs - top).sum(axis=0)))).sum())
@@ -112,7 +114,8 @@ class LabelModel:
             last = total
 
     def _logs(self, cast: np.ndarray) -> np.ndarray:
-        return np.log(self.prior)[:, None] + np.log(self.rates[:, np.arange(LABELLERS), cast]).sum(axis=2)
+        logs = np.concatenate([np.log(self.rates), np.zeros((2, LABELLERS, 1))], axis=2)
+        return np.log(self.prior)[:, None] + logs[:, np.arange(LABELLERS), cast].sum(axis=2)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a text with these votes is good."""
@@ -120,9 +123,8 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
     def accuracies(self) -> np.ndarray:
-        """Share of right votes among the votes each labeller casts."""
-        right = self.prior[BAD] * self.rates[0, :, BAD] + self.prior[GOOD] * self.rates[1, :, GOOD]
-        return right / (self.prior @ (1 - self.rates[:, :, SILENT]))
+        """Share of right votes of each labeller when it votes on every text."""
+        return self.prior[BAD] * self.rates[0, :, BAD] + self.prior[GOOD] * self.rates[1, :, GOOD]
 
 
 def slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
