@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from trackmill.plans import trajectory
+
+MODULES = (trajectory,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
