@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import trajectory
+from trackmill.plans import joins, trajectory
 
-MODULES = (trajectory,)
+MODULES = (trajectory, joins)
 
 
 def queries() -> dict:

@@ -6,19 +6,13 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import angles
 from trackmill.operators import sequences as seq
+from trackmill.plans.common import r, registry, rounded
 from trackmill.sources import adapters as src
 from trackmill.sources.adapters import with_sql
 
 W = 'PARTITION BY "TrajectoryID" ORDER BY "FrameID", "DetectionID"'
 LIMIT, LEAST = 311.7, 3
-
-
-def _round(name: str, digits: int = 6):
-    return (F.round(F.col(name), digits) + 0.0).alias(name)
-
-
-def _r(expr: str, name: str, digits: int = 6) -> str:
-    return f'round({expr}, {digits}) + 0.0 AS "{name}"'
+QUERIES, SQL, query = registry()
 
 
 _STEP = f"""steps AS (SELECT *, "FrameID" - lag("FrameID") OVER w AS fd,
@@ -30,40 +24,27 @@ def _islands(flag: str, of: str, name: str = "seg") -> str:
     return f'SELECT *, sum(CASE WHEN {flag} THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING)::BIGINT AS {name} FROM {of}'
 
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 @query("track_summary", with_sql("tracks", f"""+{_STEP.format("tracks")},
   cut AS ({_islands(f"coalesce(v > {LIMIT}, false)", "speeds")}),
   kept AS (SELECT *, count(*) OVER (PARTITION BY "TrajectoryID", seg) AS n FROM cut)
   SELECT "TrajectoryID", seg AS "Segment", min("FrameID") AS "StartFrame", max("FrameID") AS "EndFrame", count(*) AS "Rows",
-  {_r("sum(dd)", "PathLength")}, {_r("avg(v)", "MeanVelocity")}, dense_rank() OVER (ORDER BY "TrajectoryID", seg) - 1 AS "NewID"
+  {r("sum(dd)", "PathLength")}, {r("avg(v)", "MeanVelocity")}, dense_rank() OVER (ORDER BY "TrajectoryID", seg) - 1 AS "NewID"
   FROM kept WHERE n >= {LEAST} GROUP BY "TrajectoryID", seg"""))
 def track_summary(spark, sf):
     cut = seq.velocity_breaks(src.tracks(spark, sf), LIMIT, LEAST)
     found = cut.groupBy("TrajectoryID", "Segment").agg(F.min("FrameID").alias("StartFrame"), F.max("FrameID").alias("EndFrame"), F.count("*").alias("Rows"), F.sum("DistDiff").alias("PathLength"), F.avg("Velocity").alias("MeanVelocity"))
     numbered = seq.renumber(found, ["TrajectoryID", "Segment"])
-    return numbered.select("TrajectoryID", "Segment", "StartFrame", "EndFrame", "Rows", _round("PathLength"), _round("MeanVelocity"), "NewID")
+    return numbered.select("TrajectoryID", "Segment", "StartFrame", "EndFrame", "Rows", rounded("PathLength"), rounded("MeanVelocity"), "NewID")
 
 
 @query("hide_occluded", with_sql("tracks", 'SELECT "DetectionID", CASE WHEN "State" = \'active\' THEN "X" END AS "X", CASE WHEN "State" = \'active\' THEN "Y" END AS "Y", CASE WHEN "State" = \'active\' THEN round("Theta", 6) + 0.0 END AS "Theta" FROM tracks'))
 def hide_occluded(spark, sf):
-    return seq.hide_occluded(src.tracks(spark, sf)).select("DetectionID", "X", "Y", _round("Theta", 6))
+    return seq.hide_occluded(src.tracks(spark, sf)).select("DetectionID", "X", "Y", rounded("Theta", 6))
 
 
-@query("step_velocity", with_sql("tracks", f'+{_STEP.format("tracks")} SELECT "TrajectoryID", "FrameID", fd AS "FrameDiff", {_r("dd", "DistDiff")}, {_r("v", "Velocity")} FROM speeds'))
+@query("step_velocity", with_sql("tracks", f'+{_STEP.format("tracks")} SELECT "TrajectoryID", "FrameID", fd AS "FrameDiff", {r("dd", "DistDiff")}, {r("v", "Velocity")} FROM speeds'))
 def step_velocity(spark, sf):
-    return seq.step_velocity(src.tracks(spark, sf)).select("TrajectoryID", "FrameID", "FrameDiff", _round("DistDiff"), _round("Velocity"))
+    return seq.step_velocity(src.tracks(spark, sf)).select("TrajectoryID", "FrameID", "FrameDiff", rounded("DistDiff"), rounded("Velocity"))
 
 
 _PAST = f"OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
@@ -140,16 +121,16 @@ def _filled(column: str, known: str) -> str:
     return f'CASE WHEN {known} IS NULL AND ({f1}) - ({f0}) - 1 <= 30 THEN ({v0}) + (({v1}) - ({v0})) * ("FrameID" - ({f0})) / nullif(({f1}) - ({f0}), 0) ELSE {known} END AS {column}'
 
 
-@query("fill_linear", with_sql("hourly", f'+{_GRID}, f AS (SELECT "TrajectoryID", "FrameID", {_filled("x", chr(34) + "X" + chr(34))}, {_filled("y", chr(34) + "Y" + chr(34))} FROM grid) SELECT "TrajectoryID", "FrameID", {_r("x", "X")}, {_r("y", "Y")} FROM f'))
+@query("fill_linear", with_sql("hourly", f'+{_GRID}, f AS (SELECT "TrajectoryID", "FrameID", {_filled("x", chr(34) + "X" + chr(34))}, {_filled("y", chr(34) + "Y" + chr(34))} FROM grid) SELECT "TrajectoryID", "FrameID", {r("x", "X")}, {r("y", "Y")} FROM f'))
 def fill_linear(spark, sf):
-    return seq.fill_linear(_grid(spark, sf), ["X", "Y"], 30).select("TrajectoryID", "FrameID", _round("X"), _round("Y"))
+    return seq.fill_linear(_grid(spark, sf), ["X", "Y"], 30).select("TrajectoryID", "FrameID", rounded("X"), rounded("Y"))
 
 
 @query("fill_circular", with_sql("hourly", f"""+{_GRID}, p AS (SELECT *, sin("Theta") AS s, cos("Theta") AS c FROM grid),
   f AS (SELECT "TrajectoryID", "FrameID", "Theta", {_filled("fs", "s")}, {_filled("fc", "c")} FROM p)
-  SELECT "TrajectoryID", "FrameID", {_r(f'coalesce("Theta", atan2(fs, fc) - floor(atan2(fs, fc) / {angles.TWO_PI}) * {angles.TWO_PI})', "Theta")} FROM f"""))
+  SELECT "TrajectoryID", "FrameID", {r(f'coalesce("Theta", atan2(fs, fc) - floor(atan2(fs, fc) / {angles.TWO_PI}) * {angles.TWO_PI})', "Theta")} FROM f"""))
 def fill_circular(spark, sf):
-    return seq.fill_circular(_grid(spark, sf), "Theta", 30).select("TrajectoryID", "FrameID", _round("Theta"))
+    return seq.fill_circular(_grid(spark, sf), "Theta", 30).select("TrajectoryID", "FrameID", rounded("Theta"))
 
 
 @query("fragments", with_sql("hourly", f"""+{_FIRST}, r AS (SELECT *, "FrameID" - row_number() OVER (PARTITION BY "TrajectoryID" ORDER BY "FrameID") AS run FROM firsts)
@@ -171,9 +152,9 @@ def rolling_outliers(spark, sf):
     return seq.rolling_outliers(src.tracks(spark, sf), "X", 5, 2.1371).select("TrajectoryID", "FrameID", "IsOutlier")
 
 
-@query("smooth_median", with_sql("tracks", f"""SELECT "TrajectoryID", "FrameID", {_r(f'median("X") OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', "XSmooth")} FROM tracks"""))
+@query("smooth_median", with_sql("tracks", f"""SELECT "TrajectoryID", "FrameID", {r(f'median("X") OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', "XSmooth")} FROM tracks"""))
 def smooth_median(spark, sf):
-    return seq.smooth_median(src.tracks(spark, sf), "X", 5).select("TrajectoryID", "FrameID", _round("XSmooth"))
+    return seq.smooth_median(src.tracks(spark, sf), "X", 5).select("TrajectoryID", "FrameID", rounded("XSmooth"))
 
 
 _PI = angles.TWO_PI / 2
@@ -182,15 +163,15 @@ _PI = angles.TWO_PI / 2
 @query("smooth_angle", with_sql("tracks", f"""+d AS (SELECT *, "Theta" - lag("Theta") OVER ({W}) AS t FROM tracks),
   s AS (SELECT *, sum(coalesce(t - {angles.TWO_PI} * floor((t + {_PI}) / {angles.TWO_PI}), "Theta")) OVER ({W} ROWS UNBOUNDED PRECEDING) AS flat FROM d),
   m AS (SELECT *, avg(flat) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mean FROM s)
-  SELECT "TrajectoryID", "FrameID", {_r(f"mean - floor(mean / {angles.TWO_PI}) * {angles.TWO_PI}", "ThetaSmooth")} FROM m"""))
+  SELECT "TrajectoryID", "FrameID", {r(f"mean - floor(mean / {angles.TWO_PI}) * {angles.TWO_PI}", "ThetaSmooth")} FROM m"""))
 def smooth_angle(spark, sf):
-    return seq.smooth_angle(src.tracks(spark, sf)).select("TrajectoryID", "FrameID", _round("ThetaSmooth"))
+    return seq.smooth_angle(src.tracks(spark, sf)).select("TrajectoryID", "FrameID", rounded("ThetaSmooth"))
 
 
 @query("angle_functions", with_sql("tracks", f"""+n AS (SELECT "DetectionID", "Theta" AS a, radians("Y" * 3.7) AS b, "X" AS deg FROM tracks)
-  SELECT "DetectionID", {_r(f"abs((a - b + {_PI}) - floor((a - b + {_PI}) / {angles.TWO_PI}) * {angles.TWO_PI} - {_PI})", "Distance")},
-  {_r("atan2(sin(a - b), cos(a - b))", "Signed")}, {_r("deg + 180.0 - floor((deg + 180.0) / 360.0) * 360.0 - 180.0", "Wrapped")} FROM n"""))
+  SELECT "DetectionID", {r(f"abs((a - b + {_PI}) - floor((a - b + {_PI}) / {angles.TWO_PI}) * {angles.TWO_PI} - {_PI})", "Distance")},
+  {r("atan2(sin(a - b), cos(a - b))", "Signed")}, {r("deg + 180.0 - floor((deg + 180.0) / 360.0) * 360.0 - 180.0", "Wrapped")} FROM n"""))
 def angle_functions(spark, sf):
     rows = src.tracks(spark, sf).select("DetectionID", F.col("Theta").alias("a"), F.radians(F.col("Y") * 3.7).alias("b"), F.col("X").alias("deg"))
     out = rows.select("DetectionID", angles.circular_distance(F.col("a"), F.col("b")).alias("Distance"), angles.signed_difference(F.col("a"), F.col("b")).alias("Signed"), angles.wrap_degrees(F.col("deg")).alias("Wrapped"))
-    return out.select("DetectionID", _round("Distance"), _round("Signed"), _round("Wrapped"))
+    return out.select("DetectionID", rounded("Distance"), rounded("Signed"), rounded("Wrapped"))
