@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import joins, trajectory
+from trackmill.plans import analytics, joins, trajectory
 
-MODULES = (trajectory, joins)
+MODULES = (trajectory, joins, analytics)
 
 
 def queries() -> dict:
