@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import analytics, joins, trajectory
+from trackmill.plans import analytics, identity, joins, trajectory
 
-MODULES = (trajectory, joins, analytics)
+MODULES = (trajectory, joins, analytics, identity)
 
 
 def queries() -> dict:
