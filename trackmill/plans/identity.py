@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackmill.functions import pose
-from trackmill.operators import density, kernels, tags
+from trackmill.operators import density, kernels, resolve, tags
 from trackmill.operators import sequences as seq
 from trackmill.plans.common import r, registry, rounded
 from trackmill.sources import adapters as src
@@ -119,3 +119,18 @@ def sliding_windows(spark, sf):
   s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def session_windows(spark, sf):
     return windows.sessions(src.table(spark, sf, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("clean")
+def clean(spark, sf):
+    return resolve.clean(src.tracks(spark, sf), 5, 250.0, 3)
+
+
+@query("interpolate")
+def interpolate(spark, sf):
+    return resolve.interpolate(src.hourly_tracks(spark, sf), 30)
+
+
+@query("resolve")
+def resolve_passes(spark, sf):
+    return resolve.resolve(src.forward_tracks(spark, sf), src.backward_tracks(spark, sf), 15.0, 5, 5)
