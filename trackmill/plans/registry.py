@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import analytics, identity, joins, trajectory
+from trackmill.plans import analytics, events, identity, joins, trajectory
 
-MODULES = (trajectory, joins, analytics, identity)
+MODULES = (trajectory, joins, analytics, identity, events)
 
 
 def queries() -> dict:
