@@ -187,10 +187,10 @@ def stratified_split(spark, sf):
 
 
 @query("top_uncertain", f"""WITH s AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM s),
-  h AS (SELECT vec_id, round(list_sum(list_transform(p, lambda x: -greatest(x, 1e-10) * ln(greatest(x, 1e-10)))), 6) AS s FROM p) SELECT vec_id, {r("s", "Score", 5)} FROM h ORDER BY h.s DESC, vec_id LIMIT 100""")
+  h AS (SELECT vec_id, round(list_sum(list_transform(p, lambda x: -greatest(x, 1e-10) * ln(greatest(x, 1e-10)))), 6) AS s FROM p) SELECT vec_id, {r("s", "Score", 6)} FROM h ORDER BY h.s DESC, vec_id LIMIT 100""")
 def top_uncertain(spark, sf):
     p = src.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("l")).select("vec_id", metrics.softmax(F.col("l")).alias("p"))
-    return curate.top_uncertain(p, F.round(metrics.entropy(F.col("p")), 6), "vec_id", 100).select("vec_id", rounded("Score", 5))
+    return curate.top_uncertain(p, F.round(metrics.entropy(F.col("p")), 6), "vec_id", 100).select("vec_id", rounded("Score", 6))
 
 
 @query("farthest_first")
