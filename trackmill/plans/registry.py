@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import analytics, events, identity, joins, trajectory
+from trackmill.plans import analytics, detections, events, identity, joins, trajectory
 
-MODULES = (trajectory, joins, analytics, identity, events)
+MODULES = (trajectory, joins, analytics, identity, events, detections)
 
 
 def queries() -> dict:
