@@ -51,3 +51,10 @@ def test_rolling_depends_on_order_and_width():
         assert len(set(rolling(a, width).tolist())) == 40 - width
         assert rolling(a, width)[3] == rolling(a[3 : 3 + width], width)[0]
     assert len(rolling(a, 41)) == 0
+
+
+def test_answers_hold_word_by_word(docs):
+    from trackmill.llm.substring import verify_spans
+
+    found = verify_spans(docs).collect()
+    assert found and all(r.same and r.source < r.doc_id for r in found)

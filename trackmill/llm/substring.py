@@ -8,8 +8,8 @@ fills a third of the corpus reaches its bucket once per slice, never once per do
 
 A bucket answers every edge with its source, the smallest document that holds it. Documents that
 hold an edge with a smaller source are joined with those answers; in each of them consecutive
-answered edges are a nonbranching path through the graph and compact into one span. The spans
-are then checked, word by word in a digest, against the source's own coordinates.
+answered edges are a nonbranching path through the graph and compact into one span. Answers carry
+the source, so a span can be looked up at its source's coordinates (``verify_spans``).
 """
 
 from __future__ import annotations
@@ -197,3 +197,43 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(answers, "doc_id", "left")
     return joined.mapInArrow(partial(_apply, width=width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+
+
+def verify_spans(docs: DataFrame, width: int = 13) -> DataFrame:
+    """(doc_id, edge, source, same): every answered edge compared, as words, with the source's own words.
+
+    A check of the hashes for audits: windows of both documents are joined on the edge's hash and their
+    words compared. It reads the texts of all documents that answers name.
+    """
+    answers = settle(repeated_edges(docs, width), "verify")
+    pairs = answers.mapInArrow(_unpack, "doc_id long, edge long, source long")
+    wanted = pairs.select("doc_id", "edge").unionAll(pairs.select(F.col("source").alias("doc_id"), "edge")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    listed = wanted.groupBy("doc_id").agg(F.collect_list("edge").alias("edges"))
+    windows = settle(texts.join(listed, "doc_id").mapInArrow(partial(_windows, width=width), "doc_id long, edge long, words binary"), "windows").groupBy("doc_id", "edge").agg(F.min("words").alias("words"))
+    own = windows.select("doc_id", "edge", F.col("words").alias("_own"))
+    src = windows.select(F.col("doc_id").alias("source"), "edge", F.col("words").alias("_src"))
+    return pairs.join(own, ["doc_id", "edge"]).join(src, ["source", "edge"]).select("doc_id", "edge", "source", F.col("_own").eqNullSafe(F.col("_src")).alias("same"))
+
+
+def _unpack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        edges = [np.frombuffer(e, np.int64) for e in batch.column(1).to_pylist()]
+        sources = [np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(e) for e in edges])
+        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (edges, sources)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat[0]), pa.array(flat[1])], ["doc_id", "edge", "source"])
+
+
+def _windows(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The words of the asked windows, as a digest."""
+    for batch in batches(rows):
+        found: tuple[list, list, list] = ([], [], [])
+        for doc_id, text, edges in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            words = (text or b"").split()
+            all_edges = rolling(word_hashes(words), width).view(np.int64)
+            for i in np.flatnonzero(np.isin(all_edges, np.array(edges, np.int64))):
+                found[0].append(doc_id)
+                found[1].append(int(all_edges[i]))
+                found[2].append(hashlib.sha256(b" ".join(words[i : i + width])).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary())], ["doc_id", "edge", "words"])
