@@ -46,3 +46,21 @@ def test_frames_survive_and_damage_shows():
         with pytest.raises((ValueError, OverflowError)):
             records.unframe(bytes(bad), 0)
             records.unframe(bytes(bad), at)
+
+
+def test_cutting_texts_here_changes_nothing():
+    import random
+
+    random.seed(2)
+    own = records.words_of(PATH)
+    plain, odd = "aéÉ ß\n\t's12²_#'reſŉĲ¼ªº«»·÷×ĿıŸÞÐ'LL'dDµ", "aéÉ ß\n\t’'s12²٣中\x85 \x1c😀ʰ_#'reΣİ<|endoftext|>ſŉĲ\xad\xa0'LL'd"
+    texts = ["".join(random.choice(odd if i % 2 else plain) for _ in range(random.randrange(60))) for i in range(3000)] + ["Don't", "L'été", "ΑΣ", "é", "~" * 70]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_full_tables_change_nothing(monkeypatch, rows):
+    monkeypatch.setattr(records, "KNOWN_WORDS", 50)
+    own = records.Words(PATH)
+    for _, text in rows[:40]:
+        assert own.encode([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids

@@ -18,9 +18,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,28 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.common import batches, scratch_path
 
-#: Words that a worker keeps encoded between batches.
-KNOWN_WORDS = 300_000
+#: Pieces in each of a worker's two tables.
+KNOWN_WORDS = 100_000
 #: Bytes of text behind one data file.
 FILE_TEXT = 24 << 20
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<q?B")
 #: White space in every definition; the tokenizer drops it, so what stands between is encoded alone.
 BETWEEN = re.compile("[^ \t\n\r]+")
+#: Texts of ASCII, Latin-1 and Latin Extended-A characters without unusual white space, controls and dotted I;
+#: and, once lower-cased, their pieces: contractions, runs of letters, single digits, runs of anything else.
+LATIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t\n\r a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\u017f\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 def masked_crc(data: bytes) -> int:
@@ -47,8 +61,15 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-class Words(dict):
-    """Words' ids by the tokenizers library, kept in a table of bounded size."""
+class Words:
+    """Pieces' ids by the tokenizers library, packed as unsigned 32-bit integers, in tables of bounded size.
+
+    A text of plain Latin characters is lower-cased and cut here as the tokenizer cuts it, since its
+    normal form is itself, and the library's model merges each piece; pieces of other texts are what stands
+    between white space, and go through the whole tokenizer. Either way the tokenizer never joins what a cut
+    parts, so ids of a text are those of its pieces end to end. When the
+    table is full it becomes the old one, from which pieces that are met again move back.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,18 +77,39 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        return LATIN_PIECES.findall(text.lower()) if LATIN.fullmatch(text) else BETWEEN.findall(text)
+
+    def learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known, self.old = {}, self.known
+        again = self.old.keys() & new
+        self.known.update({w: self.old[w] for w in again})
+        tokenize = self.tokenizer.model.tokenize
+        fresh = []
+        for w in new - again:
+            if LATIN_PIECES.fullmatch(w) and LATIN.fullmatch(w) and w == w.lower():
+                self.known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            else:
+                fresh.append(w)
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text. Words that are new go to the library together."""
-        split = [BETWEEN.findall(t) for t in texts]
-        new = list(set().union(*split).difference(self))
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.update(zip(part, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        return [np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint32) for words in split]
+        """Unsigned 32-bit ids of each text. Pieces that are new go to the library together."""
+        split = [self.pieces(t) for t in texts]
+        met = set().union(*split)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            new = met
+        if new:
+            self.learn(new)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
 
 
 _words: dict[str, Words] = {}
@@ -112,7 +154,7 @@ def _write(rows: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id:
     name, mark = f"{root}/part-{part:06d}", uuid.uuid4().hex
     first, offsets, starts, at, tokens = None, [], [], 0, 0
     out = None
-    for batch in batches(rows, 4 << 20):
+    for batch in batches(rows, 1 << 20):
         encoded = words.encode([t or "" for t in batch.column(1).to_pylist()])
         for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
             if out is None:
