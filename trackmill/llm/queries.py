@@ -55,7 +55,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.digests(records.record_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)))
+    return records.record_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), digest=True)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

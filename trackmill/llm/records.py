@@ -200,7 +200,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return found
 
 
-def _read(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _read(rows: Iterator[pa.RecordBatch], folder: str, digest: bool) -> Iterator[pa.RecordBatch]:
     files, root = _place(folder)
     for batch in rows:
         for part, start, n_docs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -212,19 +212,28 @@ def _read(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatc
                 raise ValueError(f"part {part}: {len(index)} records in its index, {n_docs} in the manifest")
             for lo in range(0, n_docs, 2000):
                 read = [unframe(data, int(at))[:2] for at in index[lo : lo + 2000, 0]]
+                if digest:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in read], pa.int64()), pa.array(start + index[lo : lo + 2000, 1].astype(np.int64)), pa.array([len(x[1]) for x in read], pa.int64()), pa.array([zlib.crc32(x[1].tobytes()) for x in read], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in read], pa.int64()), pa.array(start + index[lo : lo + 2000, 1].astype(np.int64)), pa.array([x[1] for x in read], pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids array<long>) from the files of a folder, by way of their indexes; checksums are verified."""
+_IDS, _DIGESTS = "doc_id long, start long, ids array<long>", "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def read_records(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, ids array<long>) from the files of a folder, by way of their indexes; checksums are verified.
+
+    With ``digest`` n_tokens and the crc32 of the ids instead of the ids, made where the file is read.
+    """
     files, root = _place(folder)
     with files.open_input_stream(f"{root}/manifest.json") as stream:
         manifest = json.loads(stream.readall())
-    schema = "doc_id long, start long, ids array<long>"
+    schema = _DIGESTS if digest else _IDS
     if not manifest:
         return spark.createDataFrame([], schema)
     rows = spark.createDataFrame([(m["part"], m["start"], m["n_docs"]) for m in manifest], "part long, start long, n_docs long")
-    return rows.repartition(len(manifest)).mapInArrow(partial(_read, folder=folder), schema)
+    return rows.repartition(len(manifest)).mapInArrow(partial(_read, folder=folder, digest=digest), schema)
 
 
 def _crc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +246,12 @@ def _crc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(records: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    return records.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return records.mapInArrow(_crc, _DIGESTS)
 
 
-def record_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Write docs' records into the shared folder and read them back: doc_id, start, ids."""
+def record_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, digest: bool = False) -> DataFrame:
+    """Write docs' records into the shared folder and read them back as read_records does."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "records")
     write_records(docs, folder, tokenizer_path, end_id)
-    return read_records(spark, folder)
+    return read_records(spark, folder, digest)
