@@ -57,6 +57,29 @@ def test_a_leak_into_many_documents_is_found_in_each(spark):
     assert d.find_leaks(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).count() == 200
 
 
+def test_half_and_edited_copies_in_many_documents_equal_alignment_of_every_pair(spark):
+    random.seed(11)
+    items = [(1, [f"a{i}" for i in range(39)]), (2, [f"b{i}" for i in range(16)])]
+    texts = []
+    for i in range(200):
+        edited = [w if random.random() > 0.2 else f"z{random.randrange(99)}" for w in items[1][1]]
+        noise = [f"n{random.randrange(99)}" for _ in range(60)]
+        texts.append((i, noise[:30] + (items[0][1][:21] if i % 2 else edited) + noise[30:]))
+    want = {}
+    for doc_id, text in texts:
+        words = d.normal(" ".join(text).encode())
+        for item_id, item in items:
+            own = d.normal(" ".join(item).encode())
+            score = d.align(own, words)[0] / (d.MATCH * len(own))
+            if score >= d.LEAST and set(d.rolling(own, d.SEED).tolist()) & set(d.rolling(words, d.SEED).tolist()):
+                want[doc_id, item_id] = score
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.find_leaks(docs, benchmark).collect()}
+    assert sum(i == 1 for _, i in want) == 100 and sum(i == 2 for _, i in want) > 80
+    assert got == want
+
+
 def test_odd_rows(odd, empty, spark):
     benchmark = spark.createDataFrame([(1, "word " * 30), (1, "word " * 30)], "item_id long, text string")
     assert {r.doc_id for r in d.find_leaks(odd, benchmark).collect()} == {4, 6}

@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Items and documents are sequences of lower-cased words without punctuation. Every run of SEED words
-of an item is a seed; a first pass counts the documents that hold each seed. An item keeps the
-seeds that are rare, meaning at most RARE documents, and in any case the rarer half of its own, so
-an item that leaked into thousands of documents keeps seeds too. A second pass joins passages to
-items by seeds: hits of one item that lie close together in a text bound a window, and the local
-alignment of the item with that window scores it, edits, insertions and losses included. The score
-is the alignment's share of a perfect copy's.
+of an item is a seed, however many documents hold it: what leaked widely is no rarer for that, and
+the part of an item that didn't leak says nothing of the part that did. Passages meet items by seeds:
+hits of one item that lie close together in a text bound a window. A window that holds too few of the
+item's words for the least score is left; otherwise the local alignment of the item with the window
+scores it, edits, insertions and losses included. The score is the alignment's share of a perfect copy's.
 
 The items are a stated set of queries. They are sent out in blocks of bounded size, so what is
 broadcast doesn't grow with the corpus, nor beyond a block with the benchmark.
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 from trackmill.llm.common import batches, rolling, text_bytes, word_hashes
 
 SEED = 4
-#: Documents that may hold a seed that counts as rare.
-RARE = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage is a leak.
 LEAST = 0.5
@@ -54,26 +51,6 @@ class Items:
         self.seeds, self.item, self.at = seeds[order], item[order].astype(np.int64), at[order].astype(np.int64)
         self.distinct = np.unique(self.seeds)
 
-    def rare(self, counts: dict[int, int]) -> None:
-        """Keep rare seeds and the rarer half of each item's."""
-        df = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
-        keep = df <= RARE
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i) if len(self.ids) < 2000 else self._of(i)
-            if len(own):
-                keep[own] |= df[own] <= np.sort(df[own])[(len(own) - 1) // 2]
-        self.seeds, self.item, self.at = self.seeds[keep], self.item[keep], self.at[keep]
-        self.distinct = np.unique(self.seeds)
-        self.__dict__.pop("_by", None)
-
-    def _of(self, i: int) -> np.ndarray:
-        if "_by" not in self.__dict__:
-            order = np.argsort(self.item, kind="stable")
-            cuts = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-            self._by = order, cuts
-        order, cuts = self._by
-        return order[cuts[i] : cuts[i + 1]]
-
     def hits(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every seed of an item met in a text: place in the text, item, place in the item."""
         if not len(self.distinct) or not len(edges):
@@ -127,6 +104,8 @@ def leaks(text: bytes | None, items: Items, least: float = LEAST) -> list[tuple[
         lo = max(0, int((place[a:b] - at[a:b]).min()) - m // 2 - 2)
         hi = min(len(words), int((place[a:b] - at[a:b]).max()) + m + m // 2 + 2)
         window = words[lo:hi]
+        if np.isin(own, window).sum() < least * m:  # each match takes a word of the item
+            continue
         score, end = align(own, window)
         share = score / (MATCH * m)
         if share >= least and share > best.get(i, (0.0,))[0]:
@@ -135,19 +114,6 @@ def leaks(text: bytes | None, items: Items, least: float = LEAST) -> list[tuple[
     return [(i, *best[i]) for i in sorted(best)]
 
 
-def _seen(rows: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
-    own = items.value.distinct
-    counts = np.zeros(len(own), np.int64)
-    for batch in batches(rows):
-        for text in text_bytes(batch.column(0)):
-            edges = rolling(normal(text), SEED)
-            if len(edges) and len(own):
-                near = np.minimum(np.searchsorted(own, edges), len(own) - 1)
-                counts[np.unique(near[own[near] == edges])] += 1
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(counts[some])], ["seed", "n"])
-
-
 def _blocks(benchmark: DataFrame) -> list[Items]:
     """Items by number; rows without an id or with a null text are no items, repeated rows count once."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text")
@@ -161,17 +127,9 @@ def _blocks(benchmark: DataFrame) -> list[Items]:
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Blocks of items with their rare seeds, broadcast."""
+    """Blocks of items with their seeds, broadcast."""
     context = docs.sparkSession.sparkContext
-    out = []
-    for items in _blocks(benchmark):
-        whole = context.broadcast(items)
-        texts = docs.select(docs["text"].cast("string").alias("text"))
-        counts = texts.mapInArrow(partial(_seen, items=whole), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        whole.destroy()
-        items.rare({r.seed: r.n for r in counts})
-        out.append(context.broadcast(items))
-    return out
+    return [context.broadcast(items) for items in _blocks(benchmark)]
 
 
 def _align(rows: Iterator[pa.RecordBatch], items, least: float) -> Iterator[pa.RecordBatch]:
