@@ -51,6 +51,13 @@ def test_cleaning_cuts_jumps_and_drops_short_pieces(spark):
     assert sorted(map(tuple, got)) == [(0, 12), (1, 12)]
 
 
+def test_removal_that_does_not_settle_raises(spark):
+    rows = frame(spark, [(t, f, 0, 0, 0, "active") for t in range(4) for f in range(2 * t, 2 * t + 10)])
+    assert r.drop_redundant(rows, 1, most_rounds=5).count() == 16
+    with pytest.raises(RuntimeError):
+        r.drop_redundant(rows, 1, most_rounds=1)
+
+
 def test_dense_ids_follow_the_order(spark):
     keys = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "a long, b long")
     got = [x.n for x in seq.dense_ids(keys, ["a", "b"], "n", 8).orderBy("a", "b").collect()]

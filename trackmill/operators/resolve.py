@@ -95,6 +95,9 @@ def drop_redundant(rows: DataFrame, near: float, remove: float = 0.95, trim: flo
         gone = gone.unionAll(removed).distinct().checkpoint()
         done = settled.select("AID", "BID")
         open_edges = open_edges.join(done, ["AID", "BID"], "left_anti").join(gone.select(F.col("id").alias("BID")), "BID", "left_anti").join(gone.select(F.col("id").alias("AID")), "AID", "left_anti").select("AID", "BID", "ratio").checkpoint()
+    else:
+        if not open_edges.isEmpty():
+            raise RuntimeError(f"redundant tracks did not settle in {most_rounds} rounds")
     live = edges.join(gone.select(F.col("id").alias("AID")), "AID", "left_anti").join(gone.select(F.col("id").alias("BID")), "BID", "left_anti")
     trimmed = both.join(live.select("AID", "BID"), ["AID", "BID"], "left_semi").select(F.col("BID").alias(TRACK), FRAME).distinct()
     return rows.join(gone.select(F.col("id").alias(TRACK)), TRACK, "left_anti").join(trimmed, [TRACK, FRAME], "left_anti")
