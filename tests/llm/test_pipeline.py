@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as p
 from tests.llm.test_secrets import brute_base
-from tests.llm.test_simhash import brute as components
+from tests.llm.test_near import kept
 from trackmill.llm import bpe
 from trackmill.llm.decontaminate import Items, leaks
 
@@ -30,7 +30,7 @@ def test_stages_return_documents(stages, docs):
 
 def test_near_copies_keep_the_least_id(stages):
     rows = [(r.doc_id, r.text) for r in stages[0].collect()]
-    assert {r.doc_id for r in stages[1].collect()} == {c for _, _, c in components(rows)}
+    assert {r.doc_id for r in stages[1].collect()} == kept(rows)
 
 
 def test_leaks_go_and_only_leaks(stages, spark):
