@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def brute(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
@@ -59,6 +58,30 @@ def test_cutting_texts_here_changes_nothing():
         assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_what_the_library_makes_of_them(spark):
+    texts = ["x<|endoftext|>y", "<|startoftext|>", "a <|ENDOFTEXT|> b", "<|endoftext|", None, "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = records.record_round_trip(docs, PATH).collect()
+    assert {r.doc_id: r.ids for r in found}[0] == [343, 49407, 344, 1]
+    assert sorted(map(tuple, records.digests(records.record_round_trip(docs, PATH)).collect())) == brute(list(enumerate(texts)))
+
+
+def test_another_tokenizer_file_keeps_its_own_cuts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Some Text  with  Spaces\n\tand CAPS", "x<|endoftext|>y", "", "naïve 12 don't"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in records.record_round_trip(docs, path, end_id=50256).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 50256] for i, t in enumerate(texts)}
+
+
+def test_rows_of_one_doc_id_have_one_order(spark):
+    rows = [(1, f"text {i % 7} {i}") for i in range(60)] + [(None, "a b"), (None, "c d e"), (2, "z")]
+    docs = [spark.createDataFrame(r, "doc_id long, text string").repartition(n) for r, n in ((rows, 3), (rows[::-1], 5))]
+    one, two = (sorted((r.start, r.doc_id or -1, r.ids) for r in records.record_round_trip(d, PATH).collect()) for d in docs)
+    assert one == two
+
+
 def test_full_tables_change_nothing(monkeypatch, rows):
     monkeypatch.setattr(records, "KNOWN_WORDS", 50)
     own = records.Words(PATH)

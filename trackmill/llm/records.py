@@ -5,7 +5,8 @@ bytes (4), the payload, masked crc32 of the payload (4). A payload is doc_id (8
 flag byte (1: the id is null), the width of an id in bytes (1 byte: 2 or 4) and the ids. Beside
 ``part-N.bin`` stands ``part-N.idx``: for each frame its byte offset and the number of ids before
 it in the file (8 bytes each), so that a reader in shuffled order seeks straight to a record.
-Frames are in ascending doc_id order within a file and from one file to the next; null ids first.
+Frames are in ascending doc_id order within a file and from one file to the next; null ids first, and
+rows of one doc_id by the digest of their text, so that every run writes the same bytes.
 Files are written under a temporary name and renamed when complete, so a task that is run again
 after a lost executor only replaces what it wrote with the same bytes.
 """
@@ -53,6 +54,16 @@ def _byte_signs() -> dict[int, int]:
 
 
 BYTE_SIGNS = _byte_signs()
+#: How a tokenizer file must normalise and split for the cuts above to be its own.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _cuts_apply(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts as this module does: by NORMALIZER and SPLITTER, then byte by byte, with BPE."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = len(steps) == 2 and steps[0] == SPLITTER and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return plain and spec.get("normalizer") == NORMALIZER and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding") and spec["model"].get("type") == "BPE"
 
 
 def masked_crc(data: bytes) -> int:
@@ -69,6 +80,8 @@ class Words:
     between white space, and go through the whole tokenizer. Either way the tokenizer never joins what a cut
     parts, so ids of a text are those of its pieces end to end. When the
     table is full it becomes the old one, from which pieces that are met again move back.
+    Texts that hold one of the tokenizer's added tokens, and all texts of a tokenizer file that normalises or
+    splits otherwise, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,7 +89,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.cut_here = _cuts_apply(spec)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens") or [] if t["content"]]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -101,6 +117,22 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text. Pieces that are new go to the library together."""
+        whole = [i for i, t in enumerate(texts) if self.is_whole(t)]
+        if not whole:
+            return self._cut(texts)
+        out = dict(zip(whole, [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)], strict=True))
+        rest = [i for i in range(len(texts)) if i not in out]
+        out.update(zip(rest, self._cut([texts[i] for i in rest]), strict=True))
+        return [out[i] for i in range(len(texts))]
+
+    def is_whole(self, text: str) -> bool:
+        """Whether a text can't be cut here."""
+        if not self.cut_here:
+            return True
+        low = text.lower() if self.added else ""
+        return any(a in low for a in self.added)
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces(t) for t in texts]
         met = set().union(*split)
         new = met.difference(self.known)
@@ -182,6 +214,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     Each text gets ``end_id`` at its end; a null text is empty. The manifest (one entry for each file:
     part, first_id, n_docs, n_tokens, n_bytes, start) is also written as manifest.json. No rows: no
     files and an empty manifest. Rows that share a doc_id are all written, side by side.
+    Texts are encoded as the library does by default: an added token in a text is that token.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -189,7 +222,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size / FILE_TEXT))
     files, root = _place(folder)
     files.create_dir(root, recursive=True)
-    placed = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.sha2(F.col("text").cast("binary"), 256)
+    placed = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     found = sorted((r.asDict() for r in placed.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer_path, end_id=end_id), _WRITTEN).collect()), key=lambda r: r["part"])
     start = 0
     for entry in found:
