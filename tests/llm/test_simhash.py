@@ -1,7 +1,11 @@
+import random
+
+import pytest
 import xxhash
 
+from trackmill.llm import simhash
 from trackmill.llm.components import connected_components
-from trackmill.llm.simhash import ball, near_dedup, simhash_components
+from trackmill.llm.simhash import near_dedup, simhash_components
 
 
 def brute_fingerprint(text):
@@ -36,11 +40,74 @@ def test_equals_brute_force(docs, rows):
     assert sorted(map(tuple, simhash_components(docs).collect())) == brute(rows)
 
 
-def test_ball_is_split_between_both_sides():
-    masks = {m % (1 << 64) for m in ball(1)}
-    assert len(masks) == 65
-    for a in (0, 1, 1 << 63, 3, 1 << 40 | 1):
-        assert any((p ^ a) in masks for p in masks) == (a.bit_count() <= 2)
+def print_components(prints, radius=2):
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for p in prints:
+        groups.setdefault(find(p), set()).add(p)
+    return {frozenset(g) for g in groups.values()}
+
+
+def near_prints():
+    """Clusters around centres, many within one segment, and chains of single bits."""
+    random.seed(3)
+    out = set()
+    for _ in range(30):
+        centre = random.getrandbits(63)
+        for _ in range(12):
+            out.add(centre ^ sum(1 << random.randrange(60) for _ in range(random.randrange(1, 5))))
+    base = random.getrandbits(63)
+    return sorted(out | {base ^ (random.getrandbits(31) & random.getrandbits(31) & random.getrandbits(31)) for _ in range(150)})
+
+
+@pytest.mark.parametrize("segments", [2, 4, 8])
+@pytest.mark.parametrize("full", [500, 3])
+def test_links_by_segments_equal_brute_force(spark, monkeypatch, segments, full):
+    monkeypatch.setattr(simhash, "FULL", full)
+    prints = near_prints()
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 2, segments).collect()
+    assert all((r.a ^ r.b).bit_count() == r.distance <= 2 for r in found)
+    near = {(max(a, b), min(a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
+    if full == 500:
+        assert {(r.a, r.b) for r in found} == near
+    linked = {p: {p} for p in prints}
+    for r in found:
+        if linked[r.a] is not linked[r.b]:
+            both = linked[r.a] | linked[r.b]
+            linked.update(dict.fromkeys(both, both))
+    assert {frozenset(g) for g in linked.values()} == print_components(prints)
+
+
+def test_segments_change_the_tables(spark):
+    prints = spark.createDataFrame([(7,)], "fp long")
+    n = {s: prints.select(simhash._keys(s, 2 // s).alias("k")).first().k for s in (2, 4, 8)}
+    assert [len(n[s]) for s in (2, 4, 8)] == [2 * 33, 4, 8] and all(len(set(k)) == len(k) for k in n.values())
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 3 (of a row without id) and 15: the one in the middle links both."""
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 255 << 40), (9, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: prints)
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 255 << 40): None, (9, (1 << 64) - 1): 9}
+
+
+def test_rows_of_one_doc_id_keep_the_same_one(spark):
+    rows = [(1, "a b c d"), (1, "completely other words here"), (2, "a b c d")]
+    kept = [{r.text for r in near_dedup(spark.createDataFrame(r, "doc_id long, text string").repartition(n)).collect()} for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1]
 
 
 def test_odd_rows(odd, empty):
