@@ -36,15 +36,35 @@ def test_binomial_sum_is_exact(spark, k, n):
     assert got == pytest.approx(want, rel=1e-9)
 
 
-def test_cutoffs_hold_their_risk_and_stop_at_the_first_failure(spark):
-    rows = [(i, "en", 100, 500, 200 if i < 20 else 10 if i < 60 else 0, 5, 0, 0) for i in range(4000)]
-    found = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+def texts(n, noisy, noisier):
+    """n texts of 30 words of their own; the first ``noisier`` with many symbols, up to ``noisy`` with some."""
+    return [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " " + "#" * (150 if i < noisier else 20 if i < noisy else 0), "en") for i in range(n)]
+
+
+def test_steps_hold_the_risk_of_all_rules_and_stop_at_the_first_failure(spark):
+    docs = spark.createDataFrame(texts(4000, 60, 20), "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(4000)] + [(5, 0), (None, 1), (6, None)], "doc_id long, quality int")
-    cuts = q.calibrate(found, labels, risk=0.01, delta=0.1).first().cutoffs
-    assert cuts["symbols"] == 0.03 and cuts["dup_lines"] == 0.1
-    strict = q.calibrate(found, labels, risk=0.004, delta=0.1).first().cutoffs
-    assert "symbols" in strict and strict["symbols"] == 0.5
-    assert q.calibrate(found, labels.limit(0)).collect() == []
+    found = {r: [q.STEPS.index((rule, cut)) for rule, cut in q.STEPS if rule == "symbols" and cut < share][0] for r, share in ((20, 150 / 400), (60, 20 / 190))}
+    got = {risk: q.calibrate(docs, labels, risk, 0.1).first().last for risk in (0.03, 0.01, 0.004)}
+    assert got == {0.03: len(q.STEPS) - 1, 0.01: found[60] - 1, 0.004: found[20] - 1}
+    assert q.calibrate(docs, labels.limit(0)).collect() == []
+
+
+def test_copies_are_one_trial(spark):
+    one = texts(1, 0, 0)[0][1]
+    docs = spark.createDataFrame([(i, one, "en") for i in range(3000)] + texts(50, 0, 0)[1:], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    assert q.calibrate(docs, labels, 0.03, 0.1).collect() == []
+    assert q.calibrate(docs, labels, 0.06, 0.1).first().last == len(q.STEPS) - 1
+
+
+def test_rules_reject_more_than_the_base_does(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = q.judge(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    lost = [r for r in rows if not r.base_failed and not r.kept]
+    assert lost and all(r.broken_rule for r in lost)
+    assert sum(r.doc_id in good for r in lost) <= q.RISK * sum(r.doc_id in good for r in rows)
 
 
 def test_judging_odd_rows(odd, empty, spark):

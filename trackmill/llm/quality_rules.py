@@ -1,14 +1,17 @@
 """Quality rules whose cutoffs are chosen under a proven risk, with DataFrame functions only.
 
-A rule rejects a document whose feature exceeds a cutoff. For each stratum (language) and rule
-the cutoffs are tried from lenient to strict on the labelled documents of good quality: ``k`` of
-``n`` good ones would go. The exact binomial test asks whether the true share of good documents
-that the cutoff rejects can still be above ``risk`` of the rule: its p-value is
-P(Binomial(n, risk) <= k), which is at most a level exactly if the Clopper-Pearson upper bound
-at that level is at most ``risk``. Cutoffs of one rule are nested, so they are tested in a fixed
-sequence that ends at the first failure; over rules and strata the level is shared out by
-Bonferroni. With probability 1 - delta no chosen cutoff, in any stratum, falsely rejects more
-than its risk. A stratum without enough labels gets no cutoff and only the base rules hold.
+A rule rejects a document whose feature exceeds a cutoff. The rules tighten together, one step at a
+time, from lenient to strict: a document has a first step that rejects it, or none. For each stratum
+(language) the steps are tried in that order on the labelled documents of good quality: ``k`` of ``n``
+good ones would go at a step, by any rule. The exact binomial test asks whether the true share of good
+documents that are lost can still be above ``risk``: its p-value is P(Binomial(n, risk) <= k), which is at
+most a level exactly if the Clopper-Pearson upper bound at that level is at most ``risk``. The rejected
+sets are nested, so steps are tested in a fixed sequence that ends at the first failure, each at the
+full level of its stratum; over strata the level is shared out by Bonferroni. With probability 1 - delta
+no stratum falsely loses more than ``risk`` of its good documents, all rules together. Copies would
+count one text as many independent ones: labelled documents with the same least digest of an 8-word
+window are one trial, lost if any of them is. A stratum without enough labels gets no step and only the
+base rules hold.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ RULES = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.28, 0.24, 0.2, 0.16, 0.12, 0.08)),
     "long_words": ("word_chars / greatest(n_words, 1)", (20.0, 15.0, 12.0, 10.0, 9.0, 8.0)),
 }
-#: False rejections that each rule may cause in a stratum, and the chance that any bound fails.
-RISK, DELTA = 0.005, 0.1
+#: The order in which cutoffs are tightened: all rules' most lenient ones, then all next ones.
+STEPS = [(rule, cuts[i]) for i in range(max(len(cuts) for _, cuts in RULES.values())) for rule, (_, cuts) in RULES.items() if i < len(cuts)]
+#: Share of a stratum's good documents that its rules together may lose, and the chance that any bound fails.
+RISK, DELTA = 0.03, 0.1
+#: Strata whose steps are broadcast, at most.
+LISTED = 100_000
 
 
 def _windows(hashes: Column) -> Column:
@@ -60,14 +67,17 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(let(pairs, places), cover))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (lang; empty if null), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def features(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """doc_id, stratum (lang; empty if null), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+
+    With ``copies`` also copy, what copies of a text have in common.
+    """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     hashed = rows.withColumn("hashes", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
     lines = let(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     repeats = let(_windows(F.col("hashes")), _covered)
-    found = hashed.select("doc_id", "stratum", F.size("hashes").alias("n_words"), F.length(F.regexp_replace("text", WORD_BREAK, "")).alias("word_chars"), F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"), lines.alias("lines"), F.when(F.size("hashes") > WINDOW, repeats).otherwise(0).alias("n_repeat_words"))
-    return found.select("doc_id", "stratum", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
+    found = hashed.select("doc_id", "stratum", F.size("hashes").alias("n_words"), F.length(F.regexp_replace("text", WORD_BREAK, "")).alias("word_chars"), F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"), lines.alias("lines"), F.when(F.size("hashes") > WINDOW, repeats).otherwise(0).alias("n_repeat_words"), *([_copy_key().alias("copy")] if copies else []))
+    return found.select("doc_id", "stratum", *(["copy"] if copies else []), *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
@@ -85,22 +95,33 @@ def base_failed() -> Column:
     return F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
 
 
-def calibrate(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs map<rule, cutoff>): the strictest cutoffs that pass. Labels: (doc_id, quality); 1 is good.
+def rejected_at() -> Column:
+    """The first step that rejects a row of features; null if none does."""
+    return F.expr("case " + " ".join(f"when {RULES[rule][0]} > {cut} then {i}" for i, (rule, cut) in enumerate(STEPS)) + " end")
+
+
+def _copy_key() -> Column:
+    """The least digest of a text's 8-word windows: the same for copies, and for most near copies."""
+    return let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ").cast("binary")))))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, last): the last step that passes in each stratum. Labels: (doc_id, quality); 1 is good.
 
     Rows without doc_id or quality are left out; repeated labels of a document count once if they agree
     and not at all if they don't.
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1").select("doc_id")
-    held = found.where(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("rank"), F.lit(cut).alias("cutoff"), F.sum(F.expr(f"case when {feature} > {cut} then 1 else 0 end")).alias("k")) for rule, (feature, cuts) in RULES.items() for i, cut in enumerate(cuts)])
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), tests.alias("tests"))
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_good")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1").select("_good")
+    taught = docs.join(good, docs["doc_id"].cast("long") == good["_good"], "left_semi")
+    held = features(taught, copies=True).where(~base_failed()).select("stratum", "copy", rejected_at().alias("at"))
+    trials = held.groupBy("stratum", "copy").agg(F.min("at").alias("at"))
+    lost = F.array(*[F.struct(F.lit(i).alias("step"), F.count_if(F.col("at") <= i).alias("k")) for i in range(len(STEPS))])
+    counts = trials.groupBy("stratum").agg(F.count("*").alias("n"), lost.alias("steps"))
     strata = counts.agg(F.count("*").alias("strata"))
-    rows = counts.select("stratum", "n", F.explode("tests").alias("t")).select("stratum", "n", "t.*").crossJoin(F.broadcast(strata))
-    passed = rows.withColumn("fails", binomial_cdf(F.col("k"), F.col("n"), risk) > delta / (len(RULES) * F.col("strata")))
-    sequence = Window.partitionBy("stratum", "rule").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = passed.withColumn("stopped", F.max("fails").over(sequence)).where("not stopped").groupBy("stratum", "rule").agg(F.max_by("cutoff", "rank").alias("cutoff"))
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "cutoff")))).alias("cutoffs"))
+    rows = counts.select("stratum", "n", F.explode("steps").alias("t")).select("stratum", "n", "t.*").crossJoin(F.broadcast(strata))
+    tested = rows.withColumn("fails", binomial_cdf(F.col("k"), F.col("n"), risk) > delta / F.col("strata"))
+    sequence = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return tested.withColumn("stopped", F.max("fails").over(sequence)).where("not stopped").groupBy("stratum").agg(F.max("step").alias("last"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -109,8 +130,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     A null or empty text has no words and fails the base rules. Labels may be empty: then only the base
     rules hold.
     """
-    found = settle(features(docs), "quality", free=False)
-    ruled = found.join(calibrate(found, labels, risk, delta), "stratum", "left")
-    broken = F.array(*[F.when(F.expr(f"{feature} > element_at(cutoffs, '{rule}')"), F.lit(rule)) for rule, (feature, _) in RULES.items()])
-    first = F.get(F.filter(broken, lambda r: r.isNotNull()), F.lit(0))
-    return ruled.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), first.alias("broken_rule")).withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull())
+    steps = settle(calibrate(docs, labels, risk, delta), "quality-steps", free=False)
+    few = steps.count() <= LISTED
+    ruled = features(docs).withColumn("at", rejected_at()).join(F.broadcast(steps) if few else steps, "stratum", "left")
+    names = F.array(*[F.lit(rule) for rule, _ in STEPS])
+    broken = F.when(F.col("at") <= F.col("last"), F.get(names, F.col("at")))
+    return ruled.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), broken.alias("broken_rule")).withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull())

@@ -59,31 +59,25 @@ def quality_rules() -> str:
     from trackmill.llm import quality_rules as q
 
     space = r"[\x20\x09-\x0D]+"
-    tests = " UNION ALL ".join(
-        f"SELECT stratum, '{rule}' AS rule, {i} AS rank, {cut} AS cutoff, count(*) AS n, sum(CASE WHEN {feature} > {cut} THEN 1 ELSE 0 END)::BIGINT AS k FROM held GROUP BY stratum"
-        for rule, (feature, cuts) in q.RULES.items()
-        for i, cut in enumerate(cuts)
-    )
     term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))"
-    broken = " OR ".join(f"coalesce({feature} > c_{rule}, false)" for rule, (feature, _) in q.RULES.items())
-    cutoffs = ", ".join(f"max(CASE WHEN rule = '{rule}' THEN cutoff END) AS c_{rule}" for rule in q.RULES)
+    at = "CASE " + " ".join(f"WHEN {q.RULES[rule][0]} > {cut} THEN {i}" for i, (rule, cut) in enumerate(q.STEPS)) + " END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 split AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
-f AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+copies AS (SELECT r, min(md5(g)) AS copy FROM win GROUP BY r),
+f AS (SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM split LEFT JOIN covered USING (r)),
-b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM f),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {at} AS hit FROM f),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-tests AS ({tests}),
+trials AS (SELECT stratum, copy, min(hit) AS hit FROM b JOIN copies USING (r) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum, copy),
+tests AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (hit <= step) AS k FROM trials, (SELECT unnest(range(0, {len(q.STEPS)})) AS step) GROUP BY stratum, step),
 judged AS (SELECT *, CASE WHEN k >= n * {q.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: {term})) END
-  > {q.DELTA} / ({len(q.RULES)} * (SELECT count(DISTINCT stratum) FROM held)) AS fails FROM tests),
-chosen AS (SELECT stratum, rule, max_by(cutoff, rank) AS cutoff FROM (SELECT *, bool_or(fails) OVER (PARTITION BY stratum, rule ORDER BY rank) AS stopped FROM judged) WHERE NOT stopped GROUP BY stratum, rule),
-c AS (SELECT stratum, {cutoffs} FROM chosen GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT ({broken})) AS kept
+  > {q.DELTA} / (SELECT count(DISTINCT stratum) FROM trials) AS fails FROM tests),
+c AS (SELECT stratum, max(step) AS last FROM (SELECT *, bool_or(fails) OVER (PARTITION BY stratum ORDER BY step) AS stopped FROM judged) WHERE NOT stopped GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(hit <= last, false)) AS kept
 FROM b LEFT JOIN c USING (stratum)"""
