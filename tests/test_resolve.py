@@ -8,14 +8,14 @@ from trackmill.operators import sequences as seq
 SCHEMA = "TrajectoryID long, FrameID long, X double, Y double, Theta double, State string, DetectionID long, DetectionConfidence double"
 
 
-def frame(spark, rows):
-    return spark.createDataFrame([(t, f, float(x), float(y), float(th), s, 10 * f + t, 0.9) for t, f, x, y, th, s in rows], SCHEMA)
+def frame(spark, rows, first_detection=0):
+    return spark.createDataFrame([(t, f, float(x), float(y), float(th), s, first_detection + 1000 * f + t, 0.9) for t, f, x, y, th, s in rows], SCHEMA)
 
 
 def test_two_disjoint_tracks_and_one_backward(spark):
     fwd = [(0, f, 10 + f, 20, 0, "active") for f in range(6)] + [(1, f, 200 + f, 60, 0, "active") for f in range(20, 26)]
     bwd = [(0, f, 500 + f, 300, 0, "active") for f in range(6)]
-    got = r.resolve(frame(spark, fwd), frame(spark, bwd), 5, 2, 2).groupBy("TrajectoryID").count().collect()
+    got = r.resolve(frame(spark, fwd), frame(spark, bwd, 500), 5, 2, 2).groupBy("TrajectoryID").count().collect()
     assert sorted(map(tuple, got)) == [(0, 6), (1, 6), (2, 6)]
 
 
@@ -51,11 +51,82 @@ def test_cleaning_cuts_jumps_and_drops_short_pieces(spark):
     assert sorted(map(tuple, got)) == [(0, 12), (1, 12)]
 
 
-def test_removal_that_does_not_settle_raises(spark):
+def test_removal_runs_until_every_pair_is_settled(spark):
     rows = frame(spark, [(t, f, 0, 0, 0, "active") for t in range(4) for f in range(2 * t, 2 * t + 10)])
-    assert r.drop_redundant(rows, 1, most_rounds=5).count() == 16
-    with pytest.raises(RuntimeError):
-        r.drop_redundant(rows, 1, most_rounds=1)
+    assert r.drop_redundant(rows, 1).count() == 16
+
+
+def test_one_pass_alone_keeps_its_ids(spark):
+    rows = [(10, f, f, 0, 0, "active") for f in range(500, 511)]
+    for fwd, bwd in ((rows, []), ([], rows)):
+        got = r.resolve(frame(spark, fwd), frame(spark, bwd), 10, 2, 2).collect()
+        assert len(got) == 11 and {x.TrajectoryID for x in got} == {10}
+
+
+def test_long_chains_are_stitched_whole(spark):
+    rows = frame(spark, [(60 - t, 10 * t + f, 10 * t + f, 0, 0, "active") for t in range(60) for f in range(8)])
+    got = r.stitch(rows, 3, 30.0).groupBy("TrajectoryID").count().collect()
+    assert list(map(tuple, got)) == [(60, 480)]
+
+
+def test_tracks_that_overlap_in_their_middles_merge(spark):
+    rows = [(0, f, f, 0, 0, "active") for f in range(20)] + [(1, f, f + 1, 0, 0, "active") for f in range(12, 32)]
+    got = r.merge_agreeing(frame(spark, rows), 3, 3, 3).orderBy("FrameID").collect()
+    assert [x.FrameID for x in got] == list(range(32)) and len({x.TrajectoryID for x in got}) == 1
+    assert all(x.X == pytest.approx(x.FrameID + (0.5 if 12 <= x.FrameID < 20 else x.FrameID >= 20)) for x in got)
+
+
+def test_overlap_without_agreement_stays_apart(spark):
+    rows = [(0, f, f, 0, 0, "active") for f in range(20)] + [(1, f, f, 500, 0, "active") for f in range(12, 32)]
+    assert r.merge_agreeing(frame(spark, rows), 3, 3, 3).groupBy("TrajectoryID").count().count() == 2
+
+
+def brute_greedy(edges, one_set=False):
+    met, out = set(), []
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        ends = {a, b} if one_set else {("l", a), ("r", b)}
+        if met.isdisjoint(ends):
+            met |= ends
+            out.append((a, b))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("one_set", [False, True])
+def test_greedy_matches_equal_brute_force(spark, one_set):
+    import random
+
+    from trackmill.operators import pairs
+
+    random.seed(5)
+    path = [(i, i + (i % 2 == 0), i) for i in range(300)] if not one_set else [(i, i + 1, i) for i in range(300)]
+    some = [(1000 + random.randrange(40), 2000 + random.randrange(40), random.randrange(9)) for _ in range(300)]
+    edges = sorted({(a, b): s for a, b, s in path + some}.items())
+    edges = [(a, b, s) for (a, b), s in edges]
+    got = pairs.greedy_matches(spark.createDataFrame(edges, "a long, b long, s long"), "a", "b", "s", one_set, rounds=3).collect()
+    assert sorted((x.a, x.b) for x in got) == brute_greedy(edges, one_set)
+
+
+def test_keep_first_equals_brute_force_on_long_chains(spark):
+    from trackmill.operators import curate
+
+    edges = [(i, i + 1) for i in range(200)] + [(300, 301), (300, 303), (302, 303)]
+    ids = sorted({i for e in edges for i in e} | {999})
+    kept = {}
+    for i in ids:
+        firsts = [a for a, b in edges if b == i and kept[a] == a]
+        kept[i] = min(firsts) if firsts else i
+    got = curate.keep_first(spark.createDataFrame([(i,) for i in ids], "id long"), "id", spark.createDataFrame(edges, "AID long, BID long"), rounds=3).collect()
+    assert {x.id: x.KeptID for x in got} == kept
+
+
+def test_components_and_chains(spark):
+    from trackmill.operators import graphs
+
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
+    got = {x.node: x.root for x in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 51)} | {101: 100, 102: 100}
+    heads = {x.node: (x.head, x.place) for x in graphs.chain_heads(spark.createDataFrame([(i, i + 1) for i in range(30)], "source long, target long")).collect()}
+    assert heads == {i: (0, i) for i in range(1, 31)}
 
 
 def test_dense_ids_follow_the_order(spark):

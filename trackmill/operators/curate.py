@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.operators.pairs import ensure_checkpoints
+from trackmill.operators import graphs
+from trackmill.operators.graphs import ensure_checkpoints
 
 
 def exact_groups(rows: DataFrame, signature: str, order: str) -> DataFrame:
@@ -40,28 +41,57 @@ def hamming_pairs(rows: DataFrame, id_column: str, signature: str, radius: int,
     return crossed.unionAll(equal)
 
 
-def keep_first(rows: DataFrame, id_column: str, pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: Pairs of a component that one task may decide in order.
+LARGEST = 1_000_000
+
+
+def keep_first(rows: DataFrame, id_column: str, pairs: DataFrame, rounds: int = 8) -> DataFrame:
     """(id, KeptID): in id order a row is dropped if it pairs with a kept one, the least of which it is counted to.
 
-    Of rows with equal signatures only the pair with the least needs to be given. Each round settles every undecided row whose smaller partners are all decided; rounds are cut from
-    their lineage by checkpoint(). The number of rounds is the longest chain of undecided partners.
+    Of rows with equal signatures only the pair with the least needs to be given. Each round settles every
+    undecided row whose smaller partners are all decided; rounds are cut from their lineage by checkpoint().
+    The long chains that ``rounds`` rounds leave are decided in order, a component in a task; only components
+    of more than LARGEST pairs go on in rounds until nothing is left.
     """
     ensure_checkpoints(rows.sparkSession)
     ids = rows.select(F.col(id_column).alias("id"))
     edges = pairs.select(F.col("BID").alias("id"), F.col("AID").alias("by"))
     free = ids.join(edges.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("KeptID"))
     decided = free.checkpoint()
-    waiting = edges.checkpoint()
-    for _ in range(most_rounds):
-        if waiting.isEmpty():
-            return decided
+    waiting, done = edges.checkpoint(), 0
+    while not waiting.isEmpty():
         known = decided.select(F.col("id").alias("by"), (F.col("KeptID") == F.col("id")).alias("kept"))
-        state = waiting.join(known, "by", "left").groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("by"))).alias("first"), F.min(F.when(F.col("kept").isNull(), F.col("by"))).alias("open"))
-        ready = state.where("open is null or first < open").select("id", F.coalesce("first", "id").alias("KeptID"))
-        new = ready.checkpoint()
-        decided = decided.unionAll(new).checkpoint()
-        waiting = waiting.join(new.select("id"), "id", "left_anti").checkpoint()
-    raise RuntimeError(f"duplicates did not settle in {most_rounds} rounds")
+        if done == rounds:
+            #: Partners that are decided stay beside the row that waits for them, so that components fall apart there.
+            state = waiting.join(known, "by", "left").withColumn("_by", F.when(F.col("kept").isNull(), F.col("by")).otherwise(F.col("id")))
+            small, large = graphs.by_component(state, "id", "_by", LARGEST)
+            new = small.groupBy("Group").applyInPandas(_in_order, decided.schema).checkpoint()
+            decided = decided.unionAll(new).checkpoint()
+            waiting = large.select("id", "by").checkpoint()
+        else:
+            state = waiting.join(known, "by", "left").groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("by"))).alias("first"), F.min(F.when(F.col("kept").isNull(), F.col("by"))).alias("open"))
+            ready = state.where("open is null or first < open").select("id", F.coalesce("first", "id").alias("KeptID"))
+            new = ready.checkpoint()
+            decided = decided.unionAll(new).checkpoint()
+            waiting = waiting.join(new.select("id"), "id", "left_anti").checkpoint()
+        done += 1
+    return decided
+
+
+def _in_order(edges):
+    """(id, KeptID) of the waiting rows of one component; kept tells of partners that are decided already."""
+    import pandas as pd
+
+    kept = {by: bool(k) for by, k in zip(edges["by"], edges["kept"], strict=True) if k is not None and k == k}
+    partners: dict = {}
+    for i, by in zip(edges["id"], edges["by"], strict=True):
+        partners.setdefault(i, []).append(by)
+    out = []
+    for i in sorted(partners):
+        first = next((by for by in sorted(partners[i]) if kept.get(by, False)), None)
+        kept[i] = first is None
+        out.append((i, i if first is None else first))
+    return pd.DataFrame(out, columns=["id", "KeptID"])
 
 
 def every_nth_frame(rows: DataFrame, n: int, frame: str = "FrameID") -> DataFrame:

@@ -41,7 +41,7 @@ def above_share(cells: DataFrame, share: float = 0.3) -> DataFrame:
     return cells.crossJoin(F.broadcast(top)).where(F.col("Density") >= share * F.col("_top")).drop("_top")
 
 
-def regions(cells: DataFrame, least_frames: int = 3, least_area: int = 1, most_rounds: int = 200) -> DataFrame:
+def regions(cells: DataFrame, least_frames: int = 3, least_area: int = 1) -> DataFrame:
     """(Region, F0, F1, X0, X1, Y0, Y1, Cells): 26-connected components of cells, large enough, by size.
 
     Each cell takes the least label of its neighbourhood and labels jump to their label's label, so the
@@ -52,7 +52,7 @@ def regions(cells: DataFrame, least_frames: int = 3, least_area: int = 1, most_r
     code = F.struct(*key)
     now = cells.select(*key).distinct().select(*key, code.alias("label")).checkpoint()
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    for _ in range(most_rounds):
+    while True:
         sent = now.withColumn("_s", F.explode(shifts)).select((F.col(FRAME) + F.col("_s.a")).alias(FRAME), (F.col("GX") + F.col("_s.b")).alias("GX"), (F.col("GY") + F.col("_s.c")).alias("GY"), "label")
         near = sent.groupBy(*key).agg(F.min("label").alias("_near"))
         step = now.join(near, key).withColumn("_new", F.least("label", "_near"))
@@ -61,8 +61,6 @@ def regions(cells: DataFrame, least_frames: int = 3, least_area: int = 1, most_r
         if new.where("_old <> label").isEmpty():
             break
         now = new.drop("_old")
-    else:
-        raise RuntimeError(f"regions did not settle in {most_rounds} rounds")
     boxes = now.groupBy("label").agg(F.min(FRAME).alias("F0"), F.max(FRAME).alias("F1"), F.min("GX").alias("X0"), F.max("GX").alias("X1"), F.min("GY").alias("Y0"), F.max("GY").alias("Y1"), F.count("*").alias("Cells"))
     kept = boxes.where((F.col("F1") - F.col("F0") + 1 >= least_frames) & ((F.col("X1") - F.col("X0") + 1) * (F.col("Y1") - F.col("Y0") + 1) >= least_area))
     return kept.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("F0", "X0", "Y0", "label")).alias("Region"), "F0", "F1", "X0", "X1", "Y0", "Y1", "Cells")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators import graphs
 from trackmill.operators.sequences import FRAME, TRACK, last_per_frame
 
 
@@ -22,38 +23,81 @@ def _side(rows: DataFrame, prefix: str) -> DataFrame:
     return known.select(F.col(FRAME), F.col(TRACK).alias(f"{prefix}ID"), F.col("X").alias(f"{prefix}X"), F.col("Y").alias(f"{prefix}Y"))
 
 
+def _close(a: DataFrame, b: DataFrame, near: float) -> DataFrame:
+    """Rows of two sides of one frame at most ``near`` apart, with _d. The join key holds the cell of a grid of that width,
+
+    so a frame is split by place: a row meets its own and the eight cells around, not its whole frame.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(near))).cast("long")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    one = a.withColumn("_o", F.explode(around)).withColumns({"_gx": cell("AX") + F.col("_o.i"), "_gy": cell("AY") + F.col("_o.j")}).drop("_o")
+    two = b.withColumns({"_gx": cell("BX"), "_gy": cell("BY")})
+    return one.join(two, [FRAME, "_gx", "_gy"]).drop("_gx", "_gy").withColumn("_d", distance("AX", "AY", "BX", "BY")).where(F.col("_d") <= near)
+
+
+def _common(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(AID, BID, Common): frames that both tracks of a pair have."""
+    joined = pairs.select("AID", "BID").join(a.select("AID", FRAME), "AID").join(b.select("BID", FRAME), ["BID", FRAME])
+    return joined.groupBy("AID", "BID").agg(F.count("*").alias("Common"))
+
+
 def merge_candidates(forward: DataFrame, backward: DataFrame, near: float = 15.0, overlap: int = 5) -> DataFrame:
-    """(AID, BID, Common, Agreeing): pairs of tracks that agree in at least ``overlap`` frames."""
-    both = _side(forward, "A").join(_side(backward, "B"), FRAME)
-    agrees = (distance("AX", "AY", "BX", "BY") <= near).cast("long")
-    return both.groupBy("AID", "BID").agg(F.count("*").alias("Common"), F.sum(agrees).alias("Agreeing")).where(F.col("Agreeing") >= overlap)
+    """(AID, BID, Common, Agreeing): pairs of tracks that agree in at least ``overlap`` frames, of at least one."""
+    a, b = _side(forward, "A"), _side(backward, "B")
+    agree = _close(a, b, near).groupBy("AID", "BID").agg(F.count("*").alias("Agreeing")).where(F.col("Agreeing") >= overlap)
+    return agree.join(_common(a, b, agree), ["AID", "BID"]).select("AID", "BID", "Common", "Agreeing")
+
 
+#: Edges of a component that one task may match in order.
+LARGEST = 1_000_000
 
-def greedy_matches(candidates: DataFrame, left: str, right: str, score: str, most_rounds: int = 50) -> DataFrame:
-    """One-to-one matches: best score first, ties by left, then right.
+
+def greedy_matches(candidates: DataFrame, left: str, right: str, score: str, one_set: bool = False, rounds: int = 8) -> DataFrame:
+    """One-to-one matches: best score first, ties by left, then right. With ``one_set`` an id counts on both sides.
 
     An edge that is the first choice of both its ends is in the greedy result whatever else is, so each
-    round takes all of those and drops their ends' other edges. Rounds run on the edge table where it is,
-    cut from their lineage by checkpoint().
+    round takes all of those and drops their ends' other edges. What ``rounds`` rounds leave are long
+    chains of rising scores: each of their components is matched in order by one task, and only components
+    of more than LARGEST edges go on in rounds until nothing is left.
     """
-    edges, found = candidates.select(left, right, score), None
-    spark = candidates.sparkSession
-    ensure_checkpoints(spark)
-    order = [F.desc(score), left, right]
-    for _ in range(most_rounds):
-        ranked = edges.withColumns({"_l": F.row_number().over(Window.partitionBy(left).orderBy(*order)), "_r": F.row_number().over(Window.partitionBy(right).orderBy(*order))})
-        taken = ranked.where("_l = 1 and _r = 1").select(left, right, score).checkpoint()
-        found = taken if found is None else found.unionAll(taken)
-        if taken.isEmpty():
-            return found
-        edges = edges.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti").select(left, right, score).checkpoint()
-    raise RuntimeError(f"matching did not settle in {most_rounds} rounds")
-
-
-def ensure_checkpoints(spark) -> None:
-    """Use the session's shared folder; set a local one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    graphs.ensure_checkpoints(candidates.sparkSession)
+    edges = candidates.select(left, right, score).checkpoint()
+    found, done = edges.limit(0), 0
+    mark = (lambda side, c: F.concat(F.lit("" if one_set else side), F.col(c).cast("string")))
+    while not edges.isEmpty():
+        ends = edges.withColumns({"_a": mark("l", left), "_b": mark("r", right)})
+        if done == rounds:
+            small, large = graphs.by_component(ends, "_a", "_b", LARGEST)
+            found = found.unionAll(small.groupBy("Group").applyInPandas(_in_order(left, right, score), edges.schema))
+            edges = large.select(left, right, score).checkpoint()
+        else:
+            rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+            first = ends.select(F.explode(F.array("_a", "_b")).alias("_end"), rank.alias("_rank")).groupBy("_end").agg(F.min("_rank").alias("_first"))
+            own = lambda c: first.select(F.col("_end").alias(c), F.col("_first").alias(f"_of{c}"))
+            taken = ends.withColumn("_rank", rank).join(own("_a"), "_a").join(own("_b"), "_b").where("_rank = _of_a and _rank = _of_b").select(left, right, score, "_a", "_b").checkpoint()
+            gone = taken.select(F.explode(F.array("_a", "_b")).alias("_end")).distinct()
+            found = found.unionAll(taken.select(left, right, score))
+            edges = ends.join(gone, ends["_a"] == gone["_end"], "left_anti").join(gone, F.col("_b") == gone["_end"], "left_anti").select(left, right, score).checkpoint()
+        done += 1
+    return found
+
+
+def _in_order(left: str, right: str, score: str):
+    """The greedy matches of the edges of one component."""
+
+    def match(edges):
+        kept, met = [], set()
+        edges = edges.sort_values([score, left, right], ascending=[False, True, True])
+        for i, ends in enumerate(zip(edges["_a"], edges["_b"], strict=True)):
+            if met.isdisjoint(ends):
+                met.update(ends)
+                kept.append(i)
+        return edges.iloc[kept][[left, right, score]]
+
+    return match
+
+
+ensure_checkpoints = graphs.ensure_checkpoints
 
 
 def nearest(rows: DataFrame, others: DataFrame, keys: list[str], other_id: str, radius: float, row_xy=("X", "Y"), other_xy=("CX", "CY"), order: str | None = None) -> DataFrame:
@@ -73,9 +117,10 @@ def majority(rows: DataFrame, keys: list[str], value: str, first_seen: str) -> D
 
 def proximity(rows: DataFrame, approach: float = 60.0, common: int = 3) -> DataFrame:
     """(AID, BID, Common, MinDistance, ClosestFrame): pairs that come closer than ``approach``."""
-    both = _side(rows, "A").join(_side(rows, "B"), FRAME).where("AID < BID").withColumn("_d", distance("AX", "AY", "BX", "BY"))
-    found = both.groupBy("AID", "BID").agg(F.count("*").alias("Common"), F.min(F.struct("_d", FRAME)).alias("_m"))
-    return found.where((F.col("Common") >= common) & (F.col("_m._d") < approach)).select("AID", "BID", "Common", F.col("_m._d").alias("MinDistance"), F.col(f"_m.{FRAME}").alias("ClosestFrame"))
+    a, b = _side(rows, "A"), _side(rows, "B")
+    near = _close(a, b, approach).where((F.col("AID") < F.col("BID")) & (F.col("_d") < approach))
+    found = near.groupBy("AID", "BID").agg(F.min(F.struct("_d", FRAME)).alias("_m"))
+    return found.join(_common(a, b, found).where(F.col("Common") >= common), ["AID", "BID"]).select("AID", "BID", "Common", F.col("_m._d").alias("MinDistance"), F.col(f"_m.{FRAME}").alias("ClosestFrame"))
 
 
 def crowding(rows: DataFrame, body: float) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.operators import kernels, pairs
+from trackmill.operators import graphs, kernels, pairs
 from trackmill.operators import sequences as seq
 from trackmill.operators.sequences import FRAME, TRACK
 
@@ -72,60 +72,176 @@ def _consensus():
     return F.struct(((F.col("a.X") + F.col("b.X")) / 2).alias("X"), ((F.col("a.Y") + F.col("b.Y")) / 2).alias("Y"), theta.alias("Theta"), state.alias("State"), F.coalesce("a.DetectionID", "b.DetectionID").alias("DetectionID"), F.greatest("a.DetectionConfidence", "b.DetectionConfidence").alias("DetectionConfidence"))
 
 
-def drop_redundant(rows: DataFrame, near: float, remove: float = 0.95, trim: float = 0.7, most_rounds: int = 50) -> DataFrame:
+def drop_redundant(rows: DataFrame, near: float, remove: float = 0.95, trim: float = 0.7) -> DataFrame:
     """Of overlapping tracks the longer stays: one that agrees in 95 % of its frames with a kept longer one goes,
     in 70 % it loses the frames that agree.
 
-    A track is decided once all longer ones that agree with it enough are; rounds run on the pair table.
+    A track is decided once all longer ones that agree with it enough are; rounds run on the pair table until
+    every pair is settled.
     """
     pairs.ensure_checkpoints(rows.sparkSession)
     known = seq.last_per_frame(rows).where("X is not null and Y is not null")
     sizes = known.groupBy(TRACK).agg(F.count("*").alias("n"))
     side = lambda p: known.select(FRAME, F.col(TRACK).alias(f"{p}ID"), F.col("X").alias(f"{p}X"), F.col("Y").alias(f"{p}Y")).join(sizes.select(F.col(TRACK).alias(f"{p}ID"), F.col("n").alias(f"{p}n")), f"{p}ID")
-    both = side("A").join(side("B"), FRAME).where("An > Bn or (An = Bn and AID < BID)").where(pairs.distance("AX", "AY", "BX", "BY") <= near)
+    both = pairs._close(side("A"), side("B"), near).where("An > Bn or (An = Bn and AID < BID)")
     ratio = F.count("*") / F.first("Bn")
     edges = both.groupBy("AID", "BID").agg(ratio.alias("ratio")).where(F.col("ratio") >= trim).checkpoint()
     gone = edges.select(F.col("BID").alias("id")).limit(0).checkpoint()
     open_edges = edges
-    for _ in range(most_rounds):
+    while not open_edges.isEmpty():
         settled = open_edges.join(open_edges.select(F.col("BID").alias("AID")).distinct(), "AID", "left_anti")
-        if settled.isEmpty():
-            break
         removed = settled.where(F.col("ratio") >= remove).select(F.col("BID").alias("id")).distinct()
         gone = gone.unionAll(removed).distinct().checkpoint()
         done = settled.select("AID", "BID")
         open_edges = open_edges.join(done, ["AID", "BID"], "left_anti").join(gone.select(F.col("id").alias("BID")), "BID", "left_anti").join(gone.select(F.col("id").alias("AID")), "AID", "left_anti").select("AID", "BID", "ratio").checkpoint()
-    else:
-        if not open_edges.isEmpty():
-            raise RuntimeError(f"redundant tracks did not settle in {most_rounds} rounds")
     live = edges.join(gone.select(F.col("id").alias("AID")), "AID", "left_anti").join(gone.select(F.col("id").alias("BID")), "BID", "left_anti")
     trimmed = both.join(live.select("AID", "BID"), ["AID", "BID"], "left_semi").select(F.col("BID").alias(TRACK), FRAME).distinct()
     return rows.join(gone.select(F.col("id").alias(TRACK)), TRACK, "left_anti").join(trimmed, [TRACK, FRAME], "left_anti")
 
 
-def stitch(rows: DataFrame, max_gap: int = 3, near: float = 30.0, most_rounds: int = 20) -> DataFrame:
-    """Join fragments end to start, nearest first, one successor and one predecessor each, until nothing joins."""
+def agreeing_pairs(rows: DataFrame, near: float, overlap: int) -> DataFrame:
+    """(AID, BID, Common, Agreeing, SameID): pairs of one set of tracks that are one object where they overlap.
+
+    A frame agrees if both have the same detection or are at most ``near`` apart. Wanted are ``overlap``
+    common frames, as many of them that agree, and half of all common ones; two frames of one detection
+    stand for half the agreeing frames (two at least) and for any share.
+    """
+    side = lambda p: seq.last_per_frame(rows).where("X is not null and Y is not null").select(FRAME, F.col(TRACK).alias(f"{p}ID"), F.col("X").alias(f"{p}X"), F.col("Y").alias(f"{p}Y"), F.col("DetectionID").alias(f"{p}D"))
+    a, b = side("A"), side("B")
+    keys = ["AID", "BID", FRAME]
+    near_by = pairs._close(a, b, near).where("AID < BID").select(*keys, F.lit(0).alias("same"))
+    same = a.join(b, (a[FRAME] == b[FRAME]) & (F.col("AD") == F.col("BD"))).where("AID < BID").select("AID", "BID", a[FRAME], F.lit(1).alias("same"))
+    agree = near_by.unionAll(same).groupBy(*keys).agg(F.max("same").alias("same")).groupBy("AID", "BID").agg(F.count("*").alias("Agreeing"), F.sum("same").alias("SameID"))
+    counted = agree.join(pairs._common(a, b, agree), ["AID", "BID"]).where(F.col("Common") >= overlap)
+    strong = F.col("SameID") >= 2
+    return counted.where(F.when(strong, F.col("Agreeing") >= max(2, overlap // 2)).otherwise((F.col("Agreeing") >= overlap) & (F.col("Agreeing") >= F.col("Common") / 2))).select("AID", "BID", "Common", "Agreeing", "SameID")
+
+
+_MERGED = "_a long, _piece int, FrameID long, X double, Y double, Theta double, State string, DetectionID long, DetectionConfidence double"
+
+
+def _merge_two(near: float, least: int):
+    """Tracks from the frames of a pair: one main track that each frame continues, and what neither frame could."""
+    jump = 5 * near
+
+    def merge(frames):
+        import pandas as pd
+
+        done, main, left = [], [], {"a": [], "b": []}
+
+        def reach(row, limit):
+            last = main[-1] if main else None
+            if last is None or row["X"] is None or row["X"] != row["X"] or last["X"] != last["X"]:
+                return 0.0
+            far = ((row["X"] - last["X"]) ** 2 + (row["Y"] - last["Y"]) ** 2) ** 0.5
+            return far if far <= limit else None
+
+        def add(row, limit):
+            if reach(row, limit) is None:
+                close()
+            main.append(row)
+
+        def close():
+            if len(main) >= least:
+                done.append(list(main))
+            main.clear()
+
+        for r in frames.sort_values("FrameID").itertuples(index=False):
+            one, two, both = r.a, r.b, r.both
+            if both is not None:
+                if r.same:
+                    main.append(both)
+                else:
+                    add(both, jump)
+            elif one is None or two is None:
+                add(one if two is None else two, jump)
+            elif (one["State"] == "active") != (two["State"] == "active"):
+                add(one if one["State"] == "active" else two, 2 * jump)
+            else:
+                d1, d2 = reach(one, 2 * jump), reach(two, 2 * jump)
+                if d1 is None and d2 is None:
+                    close()
+                    left["a"].append(one)
+                    left["b"].append(two)
+                elif d2 is None or (d1 is not None and d1 <= d2):
+                    main.append(one)
+                    left["b"].append(two)
+                else:
+                    main.append(two)
+                    left["a"].append(one)
+        close()
+        for rows in left.values():
+            for row in rows:
+                add(row, jump)
+            close()
+        out = [(int(frames["AID"].iloc[0]), k, *(row[c] for c in ("FrameID", "X", "Y", "Theta", "State", "DetectionID", "DetectionConfidence"))) for k, rows in enumerate(done) for row in rows]
+        return pd.DataFrame(out, columns=["_a", "_piece", "FrameID", "X", "Y", "Theta", "State", "DetectionID", "DetectionConfidence"])
+
+    return merge
+
+
+def merge_agreeing(rows: DataFrame, near: float, overlap: int, least: int, most_rounds: int = 50) -> DataFrame:
+    """Merge tracks of one set that overlap and agree, pair by pair in id order, until no pair does.
+
+    Frames that agree merge to their mean; others continue the main track if they are near its last place,
+    else they stand in tracks of their own; pieces of fewer than ``least`` rows go. Each pair is merged by
+    one task, which holds the rows of two tracks. Raises RuntimeError if pairs remain after ``most_rounds``.
+    """
     pairs.ensure_checkpoints(rows.sparkSession)
+    cols = [FRAME, "X", "Y", "Theta", "State", "DetectionID", "DetectionConfidence"]
     for _ in range(most_rounds):
+        found = agreeing_pairs(rows, near, overlap).withColumn("score", F.lit(0))
+        chosen = pairs.greedy_matches(found, "AID", "BID", "score", one_set=True).select("AID", "BID").checkpoint()
+        if chosen.isEmpty():
+            return rows
+        last = seq.last_per_frame(rows).where("X is not null and Y is not null")
+        a = last.join(chosen, last[TRACK] == chosen["AID"]).select("AID", FRAME, F.struct(*cols).alias("a"))
+        b = last.join(chosen, last[TRACK] == chosen["BID"]).select("AID", FRAME, F.struct(*cols).alias("b"))
+        same = F.coalesce(F.col("a.DetectionID") == F.col("b.DetectionID"), F.lit(False))
+        agree = same | (pairs.distance("a.X", "a.Y", "b.X", "b.Y") <= near)
+        mean = F.struct(F.col(FRAME), "_m.X", "_m.Y", "_m.Theta", "_m.State", "_m.DetectionID", "_m.DetectionConfidence")
+        both = a.join(b, ["AID", FRAME], "full").withColumn("_m", _consensus()).select("AID", FRAME, "a", "b", F.when(agree, mean).alias("both"), F.coalesce(same, F.lit(False)).alias("same"))
+        merged = both.groupBy("AID").applyInPandas(_merge_two(near, least), _MERGED)
+        ends = chosen.select(F.explode(F.array("AID", "BID")).alias(TRACK))
+        rest = rows.join(ends, TRACK, "left_anti").select(F.col(TRACK).alias("_a"), F.lit(0).alias("_piece"), *cols)
+        whole = rest.unionByName(merged).checkpoint()
+        rows = seq.renumber(whole, ["_a", "_piece"], TRACK).select(TRACK, *cols).checkpoint()
+    raise RuntimeError(f"agreeing tracks remain after {most_rounds} rounds")
+
+
+def stitch(rows: DataFrame, max_gap: int = 3, near: float = 30.0) -> DataFrame:
+    """Join fragments end to start, nearest first, one successor and one predecessor each, until nothing joins.
+
+    A round joins whole chains of fragments: every one takes the id of its chain's head.
+    """
+    pairs.ensure_checkpoints(rows.sparkSession)
+    while True:
         links = pairs.stitch_links(pairs.track_spans(rows), max_gap, near)
-        best = pairs.greedy_matches(links.withColumn("score", -F.col("Distance")), "SourceID", "TargetID", "score")
-        free = best.join(best.select(F.col("TargetID").alias("SourceID")), "SourceID", "left_anti").select(F.col("TargetID").alias(TRACK), F.col("SourceID").alias("_to")).checkpoint()
-        if free.isEmpty():
+        best = pairs.greedy_matches(links.withColumn("score", -F.col("Distance")), "SourceID", "TargetID", "score").select(F.col("SourceID").alias("source"), F.col("TargetID").alias("target")).checkpoint()
+        if best.isEmpty():
             return rows
-        rows = rows.join(free, TRACK, "left").withColumn(TRACK, F.coalesce("_to", TRACK)).drop("_to").checkpoint()
-    return rows
+        heads = graphs.chain_heads(best).select(F.col("node").alias(TRACK), "head")
+        rows = rows.join(heads, TRACK, "left").withColumn(TRACK, F.coalesce("head", TRACK)).drop("head").checkpoint()
+
+
+def _long_enough(rows: DataFrame, least: int) -> DataFrame:
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(TRACK))).where(F.col("_n") >= least).drop("_n")
 
 
 def resolve(forward: DataFrame, backward: DataFrame, near: float = 15.0, overlap: int = 5, least: int = 5) -> DataFrame:
     """One set of tracks from a forward and a backward pass.
 
     Candidates, greedy one-to-one matches, pairwise merge with unmatched tracks of both sides kept, removal
-    of redundant tracks, stitching over gaps of three frames within twice the distance, then short tracks
-    go, edges are trimmed and ids are dense.
+    of redundant tracks, merge of those that overlap and agree, stitching over gaps of three frames within
+    twice the distance, removal again; then short tracks go, edges are trimmed and ids are dense. If one
+    pass has no tracks the other's are returned, trimmed, with their ids.
     """
     pairs.ensure_checkpoints(forward.sparkSession)
     cols = [TRACK, FRAME, "X", "Y", "Theta", "State", "DetectionID", "DetectionConfidence"]
-    forward, backward = (seq.trim_edges(seq.hide_occluded(x.select(*cols)), least) for x in (forward, backward))
+    forward, backward = (seq.trim_edges(seq.hide_occluded(_long_enough(x.select(*cols), least)), least).checkpoint() for x in (forward, backward))
+    for one, other in ((forward, backward), (backward, forward)):
+        if one.isEmpty():
+            return other
     matches = pairs.greedy_matches(pairs.merge_candidates(forward, backward, near, overlap), "AID", "BID", "Agreeing").checkpoint()
     merged = merge_pairs(forward, backward, matches, near).select(F.struct(F.lit(0).alias("k"), TRACK, F.col("_block").alias("b"), F.col("_side").alias("s")).alias("_key"), *cols[1:])
     alone = lambda rows, side, k: rows.join(matches.select(F.col(side).alias(TRACK)), TRACK, "left_anti").select(F.struct(F.lit(k).alias("k"), TRACK, F.lit(0).cast("long").alias("b"), F.lit(0).alias("s")).alias("_key"), *cols[1:])
@@ -133,5 +249,7 @@ def resolve(forward: DataFrame, backward: DataFrame, near: float = 15.0, overlap
     flat = union.select("_key.*", *cols[1:])
     numbered = seq.renumber(flat, ["k", TRACK, "b", "s"], "_new").select(F.col("_new").alias(TRACK), *cols[1:]).checkpoint()
     kept = drop_redundant(numbered, near).checkpoint()
-    joined = stitch(kept, 3, 2 * near)
-    return relabel(seq.trim_edges(seq.first_per_frame(joined), least), [])
+    agreed = merge_agreeing(kept, near, overlap, least)
+    joined = stitch(agreed, 3, 2 * near)
+    once = drop_redundant(seq.first_per_frame(joined), near)
+    return relabel(seq.trim_edges(_long_enough(once, least), least), [])

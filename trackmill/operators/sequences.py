@@ -141,9 +141,10 @@ def densify(rows: DataFrame) -> DataFrame:
 
 def _around(value: Column, order) -> tuple[Column, ...]:
     """Frame and value of the nearest known rows at or before, and at or after."""
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    so_far = lambda order: order.rowsBetween(Window.unboundedPreceding, 0)  # noqa: E731  a running value; what follows is what precedes in reverse
+    back, ahead = so_far(order), so_far(by_track().orderBy(F.desc(FRAME)))
     frame = F.when(value.isNotNull(), F.col(FRAME))
-    return F.last(frame, True).over(back), F.last(value, True).over(back), F.first(frame, True).over(ahead), F.first(value, True).over(ahead)
+    return F.last(frame, True).over(back), F.last(value, True).over(back), F.last(frame, True).over(ahead), F.last(value, True).over(ahead)
 
 
 def fill_linear(rows: DataFrame, columns: list[str], max_gap: int = 10) -> DataFrame:
