@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import analytics, detections, events, identity, joins, trajectory
+from trackmill.plans import analytics, catalogue, detections, events, identity, joins, review, trajectory
 
-MODULES = (trajectory, joins, analytics, identity, events, detections)
+MODULES = (trajectory, joins, analytics, identity, events, detections, catalogue, review)
 
 
 def queries() -> dict:
