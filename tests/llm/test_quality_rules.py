@@ -45,17 +45,17 @@ def test_steps_hold_the_risk_of_all_rules_and_stop_at_the_first_failure(spark):
     docs = spark.createDataFrame(texts(4000, 60, 20), "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(4000)] + [(5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     found = {r: [q.STEPS.index((rule, cut)) for rule, cut in q.STEPS if rule == "symbols" and cut < share][0] for r, share in ((20, 150 / 400), (60, 20 / 190))}
-    got = {risk: q.calibrate(docs, labels, risk, 0.1).first().last for risk in (0.03, 0.01, 0.004)}
+    got = {risk: q.calibrate(q.features(docs), labels, risk, 0.1).first().last for risk in (0.03, 0.01, 0.004)}
     assert got == {0.03: len(q.STEPS) - 1, 0.01: found[60] - 1, 0.004: found[20] - 1}
-    assert q.calibrate(docs, labels.limit(0)).collect() == []
+    assert q.calibrate(q.features(docs), labels.limit(0)).collect() == []
 
 
 def test_copies_are_one_trial(spark):
     one = texts(1, 0, 0)[0][1]
     docs = spark.createDataFrame([(i, one, "en") for i in range(3000)] + texts(50, 0, 0)[1:], "doc_id long, text string, lang string")
     labels = docs.selectExpr("doc_id", "1 as quality")
-    assert q.calibrate(docs, labels, 0.03, 0.1).collect() == []
-    assert q.calibrate(docs, labels, 0.06, 0.1).first().last == len(q.STEPS) - 1
+    assert q.calibrate(q.features(docs), labels, 0.03, 0.1).collect() == []
+    assert q.calibrate(q.features(docs), labels, 0.06, 0.1).first().last == len(q.STEPS) - 1
 
 
 def test_rules_reject_more_than_the_base_does(spark):

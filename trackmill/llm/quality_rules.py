@@ -9,7 +9,7 @@ most a level exactly if the Clopper-Pearson upper bound at that level is at most
 sets are nested, so steps are tested in a fixed sequence that ends at the first failure, each at the
 full level of its stratum; over strata the level is shared out by Bonferroni. With probability 1 - delta
 no stratum falsely loses more than ``risk`` of its good documents, all rules together. Copies would
-count one text as many independent ones: labelled documents with the same least digest of an 8-word
+count one text as many independent ones: labelled documents with the same least 8-word
 window are one trial, lost if any of them is. A stratum without enough labels gets no step and only the
 base rules hold.
 """
@@ -67,17 +67,14 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(let(pairs, places), cover))
 
 
-def features(docs: DataFrame, copies: bool = False) -> DataFrame:
-    """doc_id, stratum (lang; empty if null), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
-
-    With ``copies`` also copy, what copies of a text have in common.
-    """
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, stratum (lang; empty if null), copy (what copies have in common), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    hashed = rows.withColumn("hashes", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    hashed = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     lines = let(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     repeats = let(_windows(F.col("hashes")), _covered)
-    found = hashed.select("doc_id", "stratum", F.size("hashes").alias("n_words"), F.length(F.regexp_replace("text", WORD_BREAK, "")).alias("word_chars"), F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"), lines.alias("lines"), F.when(F.size("hashes") > WINDOW, repeats).otherwise(0).alias("n_repeat_words"), *([_copy_key().alias("copy")] if copies else []))
-    return found.select("doc_id", "stratum", *(["copy"] if copies else []), *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
+    found = hashed.select("doc_id", "stratum", F.size("hashes").alias("n_words"), F.length(F.regexp_replace("text", WORD_BREAK, "")).alias("word_chars"), F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"), lines.alias("lines"), F.when(F.size("hashes") > WINDOW, repeats).otherwise(0).alias("n_repeat_words"), _copy_key().alias("copy"))
+    return found.select("doc_id", "stratum", "copy", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("lines.n").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("n_repeat_words").cast("long").alias("n_repeat_words"))
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
@@ -101,19 +98,23 @@ def rejected_at() -> Column:
 
 
 def _copy_key() -> Column:
-    """The least digest of a text's 8-word windows: the same for copies, and for most near copies."""
-    return let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ").cast("binary")))))
+    """A hash of the least 8-word window by its first word, then as a whole: the same for copies, and for most near copies."""
+
+    def least(firsts: Column) -> Column:
+        windows = lambda m: F.transform(firsts, lambda w, i: F.when(w == m, F.array_join(F.slice("words", i + 1, F.lit(WINDOW)), " ")))
+        return let(F.array_min(firsts), lambda m: F.array_min(windows(m)))
+
+    return F.xxhash64(let(F.slice("words", F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))), least))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, last): the last step that passes in each stratum. Labels: (doc_id, quality); 1 is good.
+def calibrate(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, last): the last step that passes in each stratum, from features. Labels: (doc_id, quality); 1 is good.
 
     Rows without doc_id or quality are left out; repeated labels of a document count once if they agree
     and not at all if they don't.
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_good")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1").select("_good")
-    taught = docs.join(good, docs["doc_id"].cast("long") == good["_good"], "left_semi")
-    held = features(taught, copies=True).where(~base_failed()).select("stratum", "copy", rejected_at().alias("at"))
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1").select("doc_id")
+    held = found.where(~base_failed()).select("doc_id", "stratum", "copy", rejected_at().alias("at")).join(good, "doc_id", "left_semi")
     trials = held.groupBy("stratum", "copy").agg(F.min("at").alias("at"))
     lost = F.array(*[F.struct(F.lit(i).alias("step"), F.count_if(F.col("at") <= i).alias("k")) for i in range(len(STEPS))])
     counts = trials.groupBy("stratum").agg(F.count("*").alias("n"), lost.alias("steps"))
@@ -130,9 +131,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     A null or empty text has no words and fails the base rules. Labels may be empty: then only the base
     rules hold.
     """
-    steps = settle(calibrate(docs, labels, risk, delta), "quality-steps", free=False)
+    found = settle(features(docs), "quality", free=False)
+    steps = settle(calibrate(found, labels, risk, delta), "quality-steps", free=False)
     few = steps.count() <= LISTED
-    ruled = features(docs).withColumn("at", rejected_at()).join(F.broadcast(steps) if few else steps, "stratum", "left")
+    ruled = found.withColumn("at", rejected_at()).join(F.broadcast(steps) if few else steps, "stratum", "left")
     names = F.array(*[F.lit(rule) for rule, _ in STEPS])
     broken = F.when(F.col("at") <= F.col("last"), F.get(names, F.col("at")))
     return ruled.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), broken.alias("broken_rule")).withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull())

@@ -67,7 +67,7 @@ split AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), lambda w: w
 win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
-copies AS (SELECT r, min(md5(g)) AS copy FROM win GROUP BY r),
+copies AS (SELECT r, min(g) AS copy FROM (SELECT r, g, split_part(g, ' ', 1) AS a, min(split_part(g, ' ', 1)) OVER (PARTITION BY r) AS m FROM win) WHERE a = m GROUP BY r),
 f AS (SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
