@@ -27,8 +27,11 @@ _made: set[tuple[str, str]] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this application: under spark.checkpoint.dir, or LOCAL_SCRATCH if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The shared folder of this application: under spark.checkpoint.dir, or LOCAL_SCRATCH where the master is local and none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or LOCAL_SCRATCH
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
