@@ -151,3 +151,46 @@ def farthest_first(rows: DataFrame, id_column: str, vector: str, k: int, start:
 def capped_per_group(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
     """At most ``cap`` rows of each group in order; the cap is the operator."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= cap).drop("_rank")
+
+
+def histogram_pairs(rows: DataFrame, id_column: str, histogram: str, limit: float) -> DataFrame:
+    """(AID, BID, Distance), AID < BID, of histograms whose Bhattacharyya distance is at most ``limit``.
+
+    The distance is the Euclidean one of the square roots of two normed histograms, over the root of two. So two
+    in reach differ by at most limit * sqrt(2) in each root, and meet in a grid over the two roots that spread the most.
+    """
+    total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
+    roots = rows.select(F.col(id_column).alias("_id"), F.transform(histogram, lambda x: F.sqrt(F.when(total > 0, x / total).otherwise(0.0))).alias("_r"))
+    wide = limit * 2**0.5
+    spread = roots.select(F.posexplode("_r").alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("s")).orderBy(F.desc("s"), "i").limit(2).collect()
+    axes = [r.i for r in spread]
+    if not axes:
+        return roots.select(F.col("_id").alias("AID"), F.col("_id").alias("BID"), F.lit(0.0).alias("Distance")).limit(0)
+    cells = F.array(*[F.floor(F.get("_r", F.lit(i)) / wide).cast("long") for i in axes])
+    around = F.array(*[F.array(*[F.lit(x) for x in ((i, j) if len(axes) == 2 else (i,))]) for i in (-1, 0, 1) for j in ((-1, 0, 1) if len(axes) == 2 else (0,))])
+    a = roots.select(F.col("_id").alias("AID"), F.col("_r").alias("_a"), F.explode(F.transform(around, lambda o: F.zip_with(cells, o, lambda c, x: c + x))).alias("_cell"))
+    b = roots.select(F.col("_id").alias("BID"), F.col("_r").alias("_b"), cells.alias("_cell"))
+    shared = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    far = F.sqrt(F.greatest(F.lit(0.0), 1 - shared))
+    return a.join(b, "_cell").where("AID < BID").select("AID", "BID", far.alias("Distance")).where(F.col("Distance") <= limit)
+
+
+def clusters(rows: DataFrame, id_column: str, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """(id, Cluster, Distance to its centre) by distributed k-means with at most as many centres as rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = rows.select(F.col(id_column), F.transform(vector, lambda x: x.cast("double")).alias("_p"))
+    n = points.limit(k).count()
+    if n < 2:
+        return points.select(id_column, F.lit(0).alias("Cluster"), F.lit(0.0).alias("Distance"))
+    model = KMeans(k=n, seed=seed, featuresCol="_f", predictionCol="Cluster").fit(points.withColumn("_f", array_to_vector("_p")))
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    placed = model.transform(points.withColumn("_f", array_to_vector("_p")))
+    gap = F.zip_with("_p", F.get(centres, F.col("Cluster")), lambda a, b: (a - b) * (a - b))
+    return placed.select(id_column, "Cluster", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("Distance"))
+
+
+def representatives(found: DataFrame, id_column: str) -> DataFrame:
+    """(Cluster, id): of each of clusters the row nearest to its centre, ties by id."""
+    return found.groupBy("Cluster").agg(F.min(F.struct("Distance", F.col(id_column).alias("i"))).alias("_m")).select("Cluster", F.col("_m.i").alias(id_column))

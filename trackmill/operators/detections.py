@@ -41,11 +41,20 @@ def rescale(rows: DataFrame, factor: float, columns: tuple[str, ...] = ("X", "Y"
     return rows.withColumns({c: F.col(c) / factor for c in columns if c in rows.columns})
 
 
-def frame_scores(rows: DataFrame, expected: int) -> DataFrame:
-    """(FrameID, Score): how badly a frame went. Weighted shares of missing tracks, of low confidence and of unseen rows."""
-    found = rows.groupBy(FRAME).agg(F.count_distinct(TRACK).alias("_n"), F.avg("DetectionConfidence").alias("_c"), F.avg((F.col("State") != "active").cast("double")).alias("_u"))
-    missing = F.greatest(F.lit(0.0), 1 - F.col("_n") / expected)
-    return found.select(FRAME, (0.4 * missing + 0.3 * (1 - F.coalesce("_c", F.lit(0.0))) + 0.3 * F.col("_u")).alias("Score"))
+def frame_scores(rows: DataFrame, expected: int, sure: float = 0.5, cost: str | None = None, uncertainty: str | None = None) -> DataFrame:
+    """(FrameID, Score): how badly a frame went. A sum of low mean confidence (0.4), tracks that are missing (0.3) or
+    too many (half of 0.15), mean assignment cost (0.15), lost tracks (0.1) and mean position uncertainty (0.05).
+
+    Costs and uncertainties count in fiftieths up to one; without their column they add nothing.
+    """
+    n, lost = F.count_distinct(TRACK), F.count_distinct(F.when(F.col("State") == "lost", F.col(TRACK)))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)) if c else F.lit(0.0)
+    found = rows.groupBy(FRAME).agg(n.alias("_n"), lost.alias("_l"), F.avg("DetectionConfidence").alias("_c"), mean(cost).alias("_a"), mean(uncertainty).alias("_u"))
+    unsure = F.greatest(F.lit(0.0), (sure - F.coalesce("_c", F.lit(sure))) / max(sure, 1e-6))
+    off = (F.col("_n") - expected) / expected
+    count = F.when(off < 0, -0.3 * off).otherwise(0.15 * 0.5 * F.least(off, F.lit(1.0)))
+    up_to_one = lambda c: F.least(c, F.lit(1.0))
+    return found.select(FRAME, (0.4 * unsure + count + 0.15 * up_to_one(F.col("_a") / 50) + 0.1 * up_to_one(F.col("_l") / expected) + 0.05 * up_to_one(F.col("_u") / 50)).alias("Score"))
 
 
 def diverse_frames(scores: DataFrame, k: int, apart: int) -> DataFrame:

@@ -31,17 +31,22 @@ def window_of(spark, sf):
     return det.rescale(det.window_of(src.tracks(spark, sf), 5, 25, (10.0, 20.0, 150.0, 90.0), [1, 2, 3, 5, 8, 13]), 0.5).select("DetectionID", "X")
 
 
-_SCORES = """s AS (SELECT "FrameID", 0.4 * greatest(0.0, 1 - count(DISTINCT "TrajectoryID") / 150.0) + 0.3 * (1 - avg("DetectionConfidence")) + 0.3 * avg(CASE WHEN "State" <> 'active' THEN 1.0 ELSE 0.0 END) AS s FROM tracks GROUP BY 1)"""
+_SCORES = """z AS (SELECT "FrameID", count(DISTINCT "TrajectoryID") AS n, count(DISTINCT CASE WHEN "State" = 'lost' THEN "TrajectoryID" END) AS l, avg("DetectionConfidence") AS c, coalesce(avg("X"), 0.0) AS a, coalesce(avg("Y"), 0.0) AS u FROM tracks GROUP BY 1),
+  s AS (SELECT "FrameID", 0.4 * greatest(0.0, (0.55 - coalesce(c, 0.55)) / 0.55) + CASE WHEN n < 30 THEN 0.3 * (30 - n) / 30.0 ELSE 0.075 * least((n - 30) / 30.0, 1.0) END + 0.15 * least(a / 50, 1.0) + 0.1 * least(l / 30.0, 1.0) + 0.05 * least(u / 50, 1.0) AS s FROM z)"""
+
+
+def _frame_scores(spark, sf):
+    return det.frame_scores(src.tracks(spark, sf), 30, 0.55, "X", "Y")
 
 
 @query("frame_scores", with_sql("tracks", f'+{_SCORES} SELECT "FrameID", {r("s", "Score")} FROM s'))
 def frame_scores(spark, sf):
-    return det.frame_scores(src.tracks(spark, sf), 150).select("FrameID", rounded("Score"))
+    return _frame_scores(spark, sf).select("FrameID", rounded("Score"))
 
 
 @query("diverse_frames")
 def diverse_frames(spark, sf):
-    return det.diverse_frames(det.frame_scores(src.tracks(spark, sf), 150), 5, 4)
+    return det.diverse_frames(_frame_scores(spark, sf), 5, 4)
 
 
 @query("representatives", """WITH j AS (SELECT d.doc_id, d.source, l.quality, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id)), s AS (SELECT source, (1 - avg(CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0.0 END)) / (avg(n_chars) + 1e-6) AS s FROM j GROUP BY 1)

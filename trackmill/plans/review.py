@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackmill.operators import pairs, priors, review
+from trackmill.operators import curate, pairs, priors, review
 from trackmill.plans.common import r, registry, rounded
 from trackmill.plans.identity import _POINTS, _points
 from trackmill.plans.joins import _LAST, _PIECES, _SPANS, _spans
@@ -203,3 +203,30 @@ def cluster_density(spark, sf):
     rows = src.table(spark, sf, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("Density"))
     clusters = rows.select("label").distinct().unionByName(spark.range(1).select(F.lit(-1).cast(rows.schema["label"].dataType).alias("label")))
     return priors.cluster_density(rows, clusters, "label").select("label", rounded("Density", 5))
+
+
+@query("multi_shuffles")
+def multi_shuffles(spark, sf):
+    rows = src.table(spark, sf, "events").where("event_type = 'error'")
+    return review.multi_shuffles(rows.selectExpr("event_id as EventID", "event_id % 4000 as F0", "event_id % 4000 + user_id % 5 as F1", "array_distinct(array(user_id % 40, event_id % 40)) as Tracks"))
+
+
+@query("histogram_pairs", f"""WITH h AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: abs(x)::DOUBLE) AS h FROM embeddings), n AS (SELECT vec_id, list_transform(h, lambda x: sqrt(x / list_sum(h))) AS q FROM h),
+  p AS (SELECT a.vec_id AS x, b.vec_id AS y, sqrt(greatest(0.0, 1 - list_sum(list_transform(range(1, 9), lambda i: a.q[i] * b.q[i])))) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id) SELECT x AS "AID", y AS "BID", {r("d", "Distance", 5)} FROM p WHERE d <= 0.1237""")
+def histogram_pairs(spark, sf):
+    return curate.histogram_pairs(_histograms(spark, sf), "vec_id", "h", 0.1237).select("AID", "BID", rounded("Distance", 5))
+
+
+def _histograms(spark, sf):
+    return src.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double"))).alias("h"))
+
+
+@query("histogram_dedup")
+def histogram_dedup(spark, sf):
+    rows = _histograms(spark, sf)
+    return curate.keep_first(rows, "vec_id", curate.histogram_pairs(rows, "vec_id", "h", 0.1237))
+
+
+@query("cluster_representatives")
+def cluster_representatives(spark, sf):
+    return curate.representatives(curate.clusters(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 8), "vec_id")
