@@ -160,3 +160,19 @@ def test_a_short_burst_of_flipped_headings_is_turned_back(spark):
     rows = [(1, f, float(f), 0.0, math.pi if 10 <= f < 12 else 0.0, f) for f in range(30)]
     got = kernels.repair_heading_flips(spark.createDataFrame(rows, "TrajectoryID long, FrameID long, X double, Y double, Theta double, DetectionID long"), 5).collect()
     assert all(abs(math.sin(r.Theta)) < 1e-9 and math.cos(r.Theta) > 0 for r in got)
+
+
+def test_greedy_assignment_equals_brute_force(spark):
+    from trackmill.operators import pairs
+
+    random.seed(11)
+    costs = [(f, t, d, random.randrange(20) / 2) for f in range(6) for t in range(7, 12) for d in range(8, 14) if random.random() < 0.7]
+    want = []
+    for frame in range(6):
+        met = set()
+        for f, t, d, c in sorted((x for x in costs if x[0] == frame and x[3] < 8), key=lambda x: (x[3], x[1], x[2])):
+            if ("t", t) not in met and ("d", d) not in met:
+                met |= {("t", t), ("d", d)}
+                want.append((f, t, d, c))
+    got = pairs.assign_greedily(spark.createDataFrame(costs, "FrameID long, TrackID long, DetectionID long, Cost double"), 8.0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -46,15 +46,42 @@ def normalised(points: Column) -> Column:
     return F.transform(moved, lambda p: F.struct((p["x"] / scale).alias("x"), (p["y"] / scale).alias("y"), p["conf"].alias("conf")))
 
 
-def quality(points: Column, least: float = 0.2, fraction: float = 0.5, count: int = 3) -> Column:
-    """struct(Score, State): rejected below the fraction or the count of valid points; else by the score."""
+def quality(points: Column, least: float = 0.2, fraction: float = 0.5, count: int = 3, odd_body: Column | None = None, odd_edges: Column | None = None) -> Column:
+    """struct(Score, State): rejected below the fraction or the count of valid points; else by the score.
+
+    The score is the valid fraction times the mean confidence of valid points, times 0.7 if the body's length is
+    odd, and times 1 - 0.15 for each odd edge, 0.5 at the least.
+    """
     s = summary(points, least)
-    score = s["ValidFraction"] * s["MeanConf"]
+    sure = F.transform(valid(points, least), lambda p: p["conf"].cast("double"))
+    score = s["ValidFraction"] * F.when(F.size(sure) > 0, _total(sure) / F.size(sure)).otherwise(0.0)
+    if odd_body is not None:
+        score = score * F.when(odd_body, 0.7).otherwise(1.0)
+    if odd_edges is not None:
+        score = score * F.greatest(F.lit(0.5), 1 - 0.15 * odd_edges)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     refused = (s["ValidFraction"] < fraction) | (s["NumValid"] < count)
     state = F.when(points.isNull() | (F.size(points) == 0), "no_pose").when(refused, "rejected").when(score < 0.2, "bad").when(score < 0.7, "partial").otherwise("good")
     return F.struct(F.when(refused, F.lit(0.0)).otherwise(score).alias("Score"), state.alias("State"))
 
 
+def to_wide(points: Column, names: list[str]) -> list[Column]:
+    """Columns <name>_X, <name>_Y and <name>_Conf of keypoints in order."""
+    return [F.get(points, F.lit(i))[c].alias(f"{name}_{label}") for i, name in enumerate(names) for c, label in (("x", "X"), ("y", "Y"), ("conf", "Conf"))]
+
+
+def to_nested(names: list[str]) -> Column:
+    """Keypoints of such columns."""
+    return F.array(*[F.struct(F.col(f"{n}_X").alias("x"), F.col(f"{n}_Y").alias("y"), F.col(f"{n}_Conf").alias("conf")) for n in names])
+
+
+def migrated(points: Column, old: list[str], new: list[str]) -> Column:
+    """Keypoints in the order of new names; a name that the old ones lack is zero."""
+    none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("conf"))
+    as_double = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), p["conf"].cast("double").alias("conf"))
+    return F.array(*[as_double(F.get(points, F.lit(old.index(n)))) if n in old else none for n in new])
+
+
 def rectangle(cx: Column, cy: Column, w: Column, h: Column, theta: Column) -> Column:
     """Corners of a rotated rectangle as an array of (x, y)."""
     c, s = F.cos(theta), F.sin(theta)

@@ -152,3 +152,27 @@ def profile(rows: DataFrame, key: str, value: str) -> DataFrame:
 def one_tag_each(rows: DataFrame) -> DataFrame:
     """(FrameID, DetectionID, TagID): of several tags of a detection the one nearest to it, then the least."""
     return rows.groupBy("FrameID", "DetectionID").agg(F.min(F.struct("Distance", "TagID")).alias("_m")).select("FrameID", "DetectionID", F.col("_m.TagID").alias("TagID"))
+
+
+def first_existing(candidates: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """(key, Path): of candidates(key, Position, Path) the first that present(Path) holds; null if none does."""
+    found = candidates.join(present.select("Path").distinct(), "Path", "left_semi").groupBy(key).agg(F.min_by("Path", "Position").alias("Path"))
+    return candidates.select(key).distinct().join(found, key, "left")
+
+
+def annotations_of(images: DataFrame, annotations: DataFrame, path: str) -> DataFrame:
+    """images with the annotations of the same file name, whatever its folder; images without any stay."""
+    name = F.regexp_extract(F.col(path), "([^/]*)$", 1)
+    return images.withColumn("Name", name).join(annotations, "Name", "left").drop("Name")
+
+
+def class_entries(detections: DataFrame, classes: DataFrame, identities: DataFrame) -> DataFrame:
+    """detections(FrameID, DetectionID, TrajectoryID) with the class that was seen (Seen) and the one their track is known by (Known)."""
+    seen = classes.select("FrameID", "DetectionID", F.col("Class").alias("Seen"))
+    known = identities.select("TrajectoryID", F.col("Class").alias("Known"))
+    return detections.join(seen, ["FrameID", "DetectionID"], "left").join(known, "TrajectoryID", "left")
+
+
+def channel_medians(pixels: DataFrame, key: str, channels: list[str]) -> DataFrame:
+    """The median of each colour channel."""
+    return pixels.groupBy(key).agg(*[F.median(c).alias(c) for c in channels])

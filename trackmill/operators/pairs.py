@@ -247,3 +247,12 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, id_column: s
     scored = pairs.select("QueryID", "NeighbourID", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)).alias("Distance"))
     rank = F.row_number().over(Window.partitionBy("QueryID").orderBy("Distance", "NeighbourID"))
     return scored.withColumn("Rank", rank).where(F.col("Rank") <= k)
+
+
+def assign_greedily(costs: DataFrame, cull: float) -> DataFrame:
+    """(FrameID, TrackID, DetectionID, Cost): in each frame the cheapest pairs first, each track and detection once, below ``cull``. Ids are not negative."""
+    key = lambda c: F.format_string("%019d %019d", FRAME, c)  # noqa: E731  ids of one frame, in their order
+    ends = costs.where(F.col("Cost") < cull).select(key("TrackID").alias("_t"), key("DetectionID").alias("_d"), (-F.col("Cost")).alias("_s"))
+    found = greedy_matches(ends, "_t", "_d", "_s")
+    part = lambda c, i: F.split(c, " ")[i].cast("long")
+    return found.select(part("_t", 0).alias(FRAME), part("_t", 1).alias("TrackID"), part("_d", 1).alias("DetectionID"), (-F.col("_s")).alias("Cost"))

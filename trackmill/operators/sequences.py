@@ -229,3 +229,17 @@ def dense_ids(keys_of: DataFrame, keys: list[str], name: str, parts: int = 64) -
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
     return local.join(F.broadcast(earlier), "_part").select(*keys, (F.col("_rank") - 1 + F.col("_before")).cast("long").alias(name))
+
+
+def fill_tasks(rows: DataFrame, most: int) -> DataFrame:
+    """(track, StartFrame, EndFrame, X0, Y0, X1, Y1): unseen runs of at most ``most`` frames, with the known places on both sides."""
+    known = rows.where("X is not null and Y is not null")
+    order = in_order()
+    ahead = known.select(TRACK, F.col(FRAME).alias("_f"), F.col("X").alias("X0"), F.col("Y").alias("Y0"), F.lead(FRAME).over(order).alias("_next"), F.lead("X").over(order).alias("X1"), F.lead("Y").over(order).alias("Y1"))
+    gap = F.col("_next") - F.col("_f") - 1
+    return ahead.where((gap >= 1) & (gap <= most)).select(TRACK, (F.col("_f") + 1).alias("StartFrame"), (F.col("_next") - 1).alias("EndFrame"), "X0", "Y0", "X1", "Y1")
+
+
+def coverage(rows: DataFrame, slots: int) -> DataFrame:
+    """(FrameID, Coverage, Occluded, Lost): the share of slots that are active, and how many are in the other states."""
+    return rows.groupBy(FRAME).agg((F.count_if(F.col("State") == "active") / slots).alias("Coverage"), F.count_if(F.col("State") == "occluded").alias("Occluded"), F.count_if(F.col("State") == "lost").alias("Lost"))

@@ -57,7 +57,7 @@ def _points(spark, sf):
 
 
 _POINTS = "p AS (SELECT vec_id, list_transform(range(0, 5), lambda i: {'x': embedding[3 * i + 1]::DOUBLE * 10, 'y': embedding[3 * i + 2]::DOUBLE * 10, 'c': abs(embedding[3 * i + 3])::DOUBLE}) AS k FROM embeddings)"
-_S = "s AS (SELECT vec_id, list_sum(list_transform(k, lambda q: q.c)) / 5 AS m, len(list_filter(k, lambda q: q.c >= 0.1137)) AS n FROM p)"
+_S = "s AS (SELECT vec_id, coalesce(list_avg(list_transform(list_filter(k, lambda q: q.c >= 0.1137), lambda q: q.c)), 0.0) AS m, len(list_filter(k, lambda q: q.c >= 0.1137)) AS n FROM p)"
 
 
 @query("pose_quality", f"""WITH {_POINTS}, {_S} SELECT vec_id, {r("CASE WHEN n < 3 THEN 0.0 ELSE m * n / 5.0 END", "Score", 5)}, n::INT AS "NumValid", CASE WHEN n < 3 THEN 'rejected' WHEN m * n / 5.0 < 0.2 THEN 'bad' WHEN m * n / 5.0 < 0.7 THEN 'partial' ELSE 'good' END AS "State" FROM s""")

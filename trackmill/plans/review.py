@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackmill.functions import angles, pose
+from trackmill.operators import catalogue as cat
 from trackmill.operators import curate, pairs, priors, review
+from trackmill.operators import sequences as seq
 from trackmill.plans.common import r, registry, rounded
 from trackmill.plans.identity import _POINTS, _points
 from trackmill.plans.joins import _LAST, _PIECES, _SPANS, _spans
@@ -230,3 +233,85 @@ def histogram_dedup(spark, sf):
 @query("cluster_representatives")
 def cluster_representatives(spark, sf):
     return curate.representatives(curate.clusters(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 8), "vec_id")
+
+
+@query("pose_penalties", f"""WITH {_POINTS}, s AS (SELECT vec_id, coalesce(list_avg(list_transform(list_filter(k, lambda q: q.c >= 0.02), lambda q: q.c)), 0.0) AS m, len(list_filter(k, lambda q: q.c >= 0.02)) AS n, sqrt(power(k[1].x - k[5].x, 2) + power(k[1].y - k[5].y, 2)) AS l FROM p)
+  SELECT vec_id, {r("CASE WHEN n / 5.0 < 0.5 OR n < 3 THEN 0.0 ELSE m * n / 5.0 * CASE WHEN l > 1.5 THEN 0.7 ELSE 1.0 END * greatest(0.5, 1 - 0.15 * (vec_id % 6)) END", "Score", 5)} FROM s""")
+def pose_penalties(spark, sf):
+    odd = pose.body_length(F.col("points"), 0, 4) > 1.5
+    return _points(spark, sf).select("vec_id", pose.quality(F.col("points"), 0.02, odd_body=odd, odd_edges=F.col("vec_id") % 6)["Score"].alias("Score")).select("vec_id", rounded("Score", 5))
+
+
+@query("pose_wide", f"""WITH {_POINTS} SELECT vec_id, {r("k[1].x", "a_X", 5)}, {r("k[3].c", "c_Conf", 5)}, {r("k[3].y", "Back", 5)}, {r("k[2].x", "Moved", 5)}, 0.0 AS "Missing" FROM p""")
+def pose_wide(spark, sf):
+    names = ["a", "b", "c", "d", "e"]
+    wide = _points(spark, sf).select("vec_id", "points", *pose.to_wide(F.col("points"), names))
+    new = pose.migrated(F.col("points"), names, ["b", "tail", "a"])
+    return wide.select("vec_id", "a_X", "c_Conf", pose.to_nested(names)[2]["y"].alias("Back"), new[0]["x"].alias("Moved"), new[1]["conf"].alias("Missing")).select("vec_id", rounded("a_X", 5), rounded("c_Conf", 5), rounded("Back", 5), rounded("Moved", 5), "Missing")
+
+
+_TURN = "({0} - floor({0} / 6.283185307179586) * 6.283185307179586)"
+
+
+@query("directed_angles", with_sql("tracks", f"""+v AS (SELECT *, "X" - 60 AS vx, "Y" - 50 AS vy, CASE WHEN "DetectionID" % 3 = 0 THEN "Theta" + 9 END AS hint, "DetectionID" % 2 = 0 AS dir FROM tracks),
+  m AS (SELECT *, {_TURN.format("atan2(vy, vx)")} AS mo, {_TURN.format('"Theta"')} AS ax, {_TURN.format('("Theta" + 3.141592653589793)')} AS ot FROM v), w AS (SELECT *, abs({_TURN.format("(mo - ax + 3.141592653589793)")} - 3.141592653589793) AS d0, abs({_TURN.format("(mo - ot + 3.141592653589793)")} - 3.141592653589793) AS d1 FROM m)
+  SELECT "DetectionID", CASE WHEN dir AND hint IS NOT NULL THEN 'hint' WHEN vx * vx + vy * vy > 1e-6 THEN 'motion' ELSE 'axis' END AS "Source", {r(f"CASE WHEN dir AND hint IS NOT NULL THEN {_TURN.format('hint')} WHEN vx * vx + vy * vy > 1e-6 AND d0 > d1 THEN ot ELSE ax END", "Angle", 5)} FROM w"""))
+def directed_angles(spark, sf):
+    rows = src.tracks(spark, sf)
+    hint = F.when(F.col("DetectionID") % 3 == 0, F.col("Theta") + 9)
+    found = angles.directed(F.col("Theta"), hint, F.col("DetectionID") % 2 == 0, F.col("X") - 60, F.col("Y") - 50)
+    return rows.select("DetectionID", found.alias("a")).select("DetectionID", "a.Source", "a.Angle").select("DetectionID", "Source", rounded("Angle", 5))
+
+
+@query("cosine_pairs", f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM n),
+  p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (a.s * b.s) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT x AS "AID", y AS "BID", {r("c", "Similarity", 5)} FROM p WHERE c >= 0.40137""")
+def cosine_pairs(spark, sf):
+    return curate.cosine_pairs(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.40137).select("AID", "BID", rounded("Similarity", 5))
+
+
+@query("fill_tasks", with_sql("tracks", f"""+k AS (SELECT "TrajectoryID", "FrameID" AS f, "X" AS x, "Y" AS y, lead("FrameID") OVER w AS n, lead("X") OVER w AS nx, lead("Y") OVER w AS ny FROM tracks WHERE "State" = 'active' WINDOW w AS (PARTITION BY "TrajectoryID" ORDER BY "FrameID", "DetectionID"))
+  SELECT "TrajectoryID", f + 1 AS "StartFrame", n - 1 AS "EndFrame", x AS "X0", ny AS "Y1" FROM k WHERE n - f - 1 BETWEEN 1 AND 3"""))
+def fill_tasks(spark, sf):
+    return seq.fill_tasks(src.tracks(spark, sf).where("State = 'active'"), 3).select("TrajectoryID", "StartFrame", "EndFrame", "X0", "Y1")
+
+
+@query("coverage", with_sql("tracks", f"""SELECT "FrameID", {r("count(*) FILTER (\"State\" = 'active') / 150.0", "Coverage")}, count(*) FILTER ("State" = 'occluded') AS "Occluded", count(*) FILTER ("State" = 'lost') AS "Lost" FROM tracks GROUP BY 1"""))
+def coverage(spark, sf):
+    return seq.coverage(src.tracks(spark, sf), 150).select("FrameID", rounded("Coverage"), "Occluded", "Lost")
+
+
+@query("first_existing", """SELECT user_id, CASE min(event_id) % 5 WHEN 0 THEN 'b/' || user_id WHEN 1 THEN NULL ELSE 'a/' || user_id END AS "Path" FROM events GROUP BY 1""")
+def first_existing(spark, sf):
+    ids = src.table(spark, sf, "events").groupBy("user_id").agg((F.min("event_id") % 5).alias("m"))
+    candidates = ids.select("user_id", F.posexplode(F.array(F.concat(F.lit("a/"), "user_id"), F.concat(F.lit("b/"), "user_id"))).alias("Position", "Path"))
+    present = ids.where("m > 1").select(F.concat(F.lit("a/"), "user_id").alias("Path")).unionByName(ids.where("m <> 1").select(F.concat(F.lit("b/"), "user_id").alias("Path")))
+    return cat.first_existing(candidates, present, "user_id")
+
+
+@query("annotations_of", """SELECT d.doc_id, a.event_id FROM documents d LEFT JOIN (SELECT user_id, event_id FROM events WHERE event_type = 'error') a ON a.user_id = d.doc_id""")
+def annotations_of(spark, sf):
+    images = src.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/x/"), "source", F.lit("/"), "doc_id", F.lit(".png")).alias("path"))
+    named = src.table(spark, sf, "events").where("event_type = 'error'").select(F.concat("user_id", F.lit(".png")).alias("Name"), "event_id")
+    return cat.annotations_of(images.withColumn("path", F.coalesce("path", F.concat(F.lit("/x/none/"), "doc_id", F.lit(".png")))), named, "path").select("doc_id", "event_id")
+
+
+@query("class_entries", with_sql("tracks", """+c AS (SELECT "FrameID", "DetectionID", 'c' || "DetectionID" % 4 AS k FROM tracks WHERE "DetectionID" % 3 = 0), i AS (SELECT DISTINCT "TrajectoryID", 't' || "TrajectoryID" % 5 AS k FROM tracks WHERE "TrajectoryID" % 2 = 0)
+  SELECT t."DetectionID", c.k AS "Seen", i.k AS "Known" FROM tracks t LEFT JOIN c USING ("FrameID", "DetectionID") LEFT JOIN i USING ("TrajectoryID")"""))
+def class_entries(spark, sf):
+    rows = src.tracks(spark, sf)
+    seen = rows.where("DetectionID % 3 = 0").select("FrameID", "DetectionID", F.concat(F.lit("c"), F.col("DetectionID") % 4).alias("Class"))
+    known = rows.where("TrajectoryID % 2 = 0").select("TrajectoryID", F.concat(F.lit("t"), F.col("TrajectoryID") % 5).alias("Class")).distinct()
+    return cat.class_entries(rows.select("FrameID", "DetectionID", "TrajectoryID"), seen, known).select("DetectionID", "Seen", "Known")
+
+
+@query("channel_medians", f"""SELECT event_type, {r("median(value)", "r", 4)}, {r("median((user_id % 256)::DOUBLE)", "g", 4)} FROM events GROUP BY 1""")
+def channel_medians(spark, sf):
+    rows = src.table(spark, sf, "events").select("event_type", F.col("value").alias("r"), (F.col("user_id") % 256).cast("double").alias("g"))
+    return cat.channel_medians(rows, "event_type", ["r", "g"]).select("event_type", rounded("r", 4), rounded("g", 4))
+
+
+@query("greedy_assignment")
+def greedy_assignment(spark, sf):
+    a, b = src.forward_tracks(spark, sf), src.backward_tracks(spark, sf)
+    met = pairs._close(pairs._side(a, "A"), pairs._side(b, "B"), 5.0)
+    return pairs.assign_greedily(met.select("FrameID", F.col("AID").alias("TrackID"), F.col("BID").alias("DetectionID"), F.col("_d").alias("Cost")), 5.0)
