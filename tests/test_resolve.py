@@ -35,6 +35,15 @@ def test_agreeing_tracks_merge_to_their_mean(spark):
     assert all(abs(math.sin(x.Theta)) < 1e-6 for x in got)
 
 
+def test_crossing_tracks_stay_two(spark):
+    fwd = [(t, f, f, f if t == 0 else 99 - f, 0.0, "active") for t in range(2) for f in range(100)]
+    bwd = [(t, f, x + 0.3, y, th, s) for t, f, x, y, th, s in fwd]
+    got = r.resolve(frame(spark, fwd), frame(spark, bwd), 5, 5, 5).collect()
+    assert {x.TrajectoryID for x in got} == {0, 1} and len(got) == 200
+    assert len({(x.TrajectoryID, x.FrameID) for x in got}) == len(got)
+    assert all(0 <= x.FrameID < 100 for x in got)
+
+
 def test_interpolation_of_short_gaps(spark):
     rows = [(0, 0, 0, 0, 0, "active"), (0, 2, 2, 2, 0.2, "active"), (0, 3, 3, 3.2, 0.3, "active"), (0, 6, 6, 6.1, 0.6, "active"), (1, 10, 12, 12, 1.0, "active")]
     got = {(x.TrajectoryID, x.FrameID): x for x in r.interpolate(frame(spark, rows), 2).collect()}
