@@ -23,14 +23,18 @@ def _side(rows: DataFrame, prefix: str) -> DataFrame:
     return known.select(F.col(FRAME), F.col(TRACK).alias(f"{prefix}ID"), F.col("X").alias(f"{prefix}X"), F.col("Y").alias(f"{prefix}Y"))
 
 
+def _around_cell() -> Column:
+    """The steps from a cell to itself and its eight neighbours."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+
 def _close(a: DataFrame, b: DataFrame, near: float) -> DataFrame:
     """Rows of two sides of one frame at most ``near`` apart, with _d. The join key holds the cell of a grid of that width,
 
     so a frame is split by place: a row meets its own and the eight cells around, not its whole frame.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(near))).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    one = a.withColumn("_o", F.explode(around)).withColumns({"_gx": cell("AX") + F.col("_o.i"), "_gy": cell("AY") + F.col("_o.j")}).drop("_o")
+    one = a.withColumn("_o", F.explode(_around_cell())).withColumns({"_gx": cell("AX") + F.col("_o.i"), "_gy": cell("AY") + F.col("_o.j")}).drop("_o")
     two = b.withColumns({"_gx": cell("BX"), "_gy": cell("BY")})
     return one.join(two, [FRAME, "_gx", "_gy"]).drop("_gx", "_gy").withColumn("_d", distance("AX", "AY", "BX", "BY")).where(F.col("_d") <= near)
 
@@ -103,7 +107,9 @@ ensure_checkpoints = graphs.ensure_checkpoints
 def nearest(rows: DataFrame, others: DataFrame, keys: list[str], other_id: str, radius: float, row_xy=("X", "Y"), other_xy=("CX", "CY"), order: str | None = None) -> DataFrame:
     """(keys, other_id, Distance): the nearest other of the same frame within ``radius``; ties by ``order``, then id."""
     near = F.hypot(F.col(row_xy[0]) - F.col(other_xy[0]), F.col(row_xy[1]) - F.col(other_xy[1]))
-    both = rows.select(*{*keys, FRAME}, *row_xy).join(others, FRAME).withColumn("Distance", near).where(F.col("Distance") <= radius)
+    cell = lambda c: F.floor(F.col(c) / F.lit(max(float(radius), 1e-9))).cast("long")
+    placed = rows.select(*{*keys, FRAME}, *row_xy).withColumn("_o", F.explode(_around_cell())).withColumns({"_gx": cell(row_xy[0]) + F.col("_o.i"), "_gy": cell(row_xy[1]) + F.col("_o.j")}).drop("_o")
+    both = placed.join(others.withColumns({"_gx": cell(other_xy[0]), "_gy": cell(other_xy[1])}), [FRAME, "_gx", "_gy"]).withColumn("Distance", near).where(F.col("Distance") <= radius)
     first = F.min(F.struct("Distance", *([order] if order else []), F.col(other_id).alias("_id")))
     return both.groupBy(*keys).agg(first.alias("_best")).select(*keys, F.col("_best._id").alias(other_id), F.col("_best.Distance").alias("Distance"))
 
@@ -124,20 +130,23 @@ def proximity(rows: DataFrame, approach: float = 60.0, common: int = 3) -> DataF
 
 
 def crowding(rows: DataFrame, body: float) -> DataFrame:
-    """(FrameID, Crowding): sum of 1 - distance / body over the close pairs of a frame, per pair."""
-    both = _side(rows, "A").join(_side(rows, "B"), FRAME).where("AID < BID").withColumn("_d", distance("AX", "AY", "BX", "BY"))
-    near = F.when(F.col("_d") < body, 1 - F.col("_d") / body).otherwise(0.0)
-    return both.groupBy(FRAME).agg((F.sum(near) / F.count("*")).alias("Crowding"))
+    """(FrameID, Crowding): sum of 1 - distance / body over the close pairs of a frame, for each of its pairs."""
+    a, b = _side(rows, "A"), _side(rows, "B")
+    near = _close(a, b, body).where("AID < BID").groupBy(FRAME).agg(F.sum(1 - F.col("_d") / body).alias("_near"))
+    sizes = a.groupBy(FRAME).agg(F.count("*").alias("_n")).where("_n > 1")
+    return sizes.join(near, FRAME, "left").select(FRAME, (F.coalesce("_near", F.lit(0.0)) * 2 / (F.col("_n") * (F.col("_n") - 1))).alias("Crowding"))
 
 
-def regions_of(rows: DataFrame, regions: DataFrame, margin: int = 3) -> DataFrame:
+def regions_of(rows: DataFrame, regions: DataFrame, margin: int = 3, width: int = 256) -> DataFrame:
     """Region and IsBoundary of each row: the first region that holds it, else open_field.
 
-    ``regions(Rank, Label, F0, F1, X0, Y0, X1, Y1)`` is a short list with inclusive bounds.
+    ``regions(Rank, Label, F0, F1, X0, Y0, X1, Y1)`` with inclusive bounds; they meet the rows by buckets of ``width`` frames.
     """
     inside = F.expr(f"{FRAME} between F0 and F1 and X between X0 and X1 and Y between Y0 and Y1")
     edge = (F.col(FRAME) <= F.col("F0") + margin - 1) | (F.col(FRAME) >= F.col("F1") - margin + 1)
-    hit = rows.select("DetectionID", FRAME, "X", "Y").join(F.broadcast(regions), inside).groupBy("DetectionID").agg(F.min_by(F.struct("Label", edge.alias("Edge")), "Rank").alias("_r"))
+    spread = regions.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("F0") / width), F.floor(F.col("F1") / width))))
+    placed = rows.select("DetectionID", FRAME, "X", "Y", F.floor(F.col(FRAME) / width).alias("_bucket"))
+    hit = placed.join(spread, "_bucket").where(inside).groupBy("DetectionID").agg(F.min_by(F.struct("Label", edge.alias("Edge")), "Rank").alias("_r"))
     return rows.join(hit, "DetectionID", "left").select(rows["*"], F.coalesce("_r.Label", F.lit("open_field")).alias("Region"), F.coalesce("_r.Edge", F.lit(False)).alias("IsBoundary"))
 
 
