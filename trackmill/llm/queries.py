@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, decontaminate, language, lm, quality_model, quality_rules, records, secrets, sql
+from trackmill.llm import bpe, decontaminate, fim, language, lm, quality_model, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
@@ -66,6 +66,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -78,8 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_records": op8_records,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_model": op10_quality_model,
+        "op12_fim": op12_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": sql.secret_scan(), "op3_quality_rules": sql.quality_rules()}
+    return {"op2_secrets": sql.secret_scan(), "op3_quality_rules": sql.quality_rules(), "op12_fim": sql.fill_in_middle()}

@@ -81,3 +81,24 @@ judged AS (SELECT *, CASE WHEN k >= n * {q.RISK} THEN 1.0 ELSE list_sum(list_tra
 c AS (SELECT stratum, max(step) AS last FROM (SELECT *, bool_or(fails) OVER (PARTITION BY stratum ORDER BY step) AS stopped FROM judged) WHERE NOT stopped GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(hit <= last, false)) AS kept
 FROM b LEFT JOIN c USING (stratum)"""
+
+
+def fill_in_middle() -> str:
+    """op12: lines by the grammar itself, outputs by joining slices, and the text again by the pieces' places in the output."""
+    draw = lambda k: f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT"
+    join = lambda a, b: f"coalesce(array_to_string(u[{a}:{b}], ''), '')"
+    part = lambda at, size: f"substr(o, ({at})::BIGINT, ({size})::BIGINT)"
+    p, m, rest = "length(p)", "length(m)", "length(t) - length(p) - length(m)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u FROM d),
+b AS (SELECT *, len(u)::BIGINT AS n, {draw(0)} % (len(u) + 1) AS x, {draw(1)} % (len(u) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 100 THEN 'plain' WHEN {draw(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+s AS (SELECT *, {join(1, "least(x, y)")} AS p, {join("least(x, y) + 1", "greatest(x, y)")} AS m, {join("greatest(x, y) + 1", "n")} AS z FROM b),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END AS o FROM s)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN {part("4", p)} || {part(f"10 + {p} + ({rest})", m)} || {part(f"7 + {p}", rest)}
+    ELSE {part(f"7 + ({rest})", p)} || {part(f"10 + {p} + ({rest})", m)} || {part("4", rest)} END) AS restored_sha256
+FROM o
+"""
