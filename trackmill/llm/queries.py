@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, decontaminate, fim, language, lm, quality_model, quality_rules, records, secrets, sql
+from trackmill.llm import alignment, bpe, decontaminate, fim, language, lm, quality_model, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_model": op10_quality_model,
         "op12_fim": op12_fim,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
