@@ -30,8 +30,8 @@ from trackmill.llm.common import batches, settle
 RANGES, POSTINGS = 16, 4_000_000
 #: Links, counts or contributions that a worker collects before it adds them up.
 HELD = 1_500_000
-#: Documents in a slice, at most: their places in it are 16 bits wide. Groups with more links are expanded by distinct ids.
-SLICE, LARGE_GROUP = 60_000, 1 << 14
+#: Documents of one posting, at most: their places in it are 16 bits wide. Bytes of text that are aligned at a time, about. Groups with more links are expanded by distinct ids.
+SLICE, SLICE_BYTES, LARGE_GROUP = 60_000, 2 << 20, 1 << 14
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -118,7 +118,7 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 
 def align(texts: list[str | None], one, two, size_a: np.ndarray, size_b: np.ndarray, digits: list[bytes]) -> tuple:
-    """For each text n_a, n_b, n_groups, n_links and its groups' digest; and all distinct links: a, b, text, multiplicity, sorted."""
+    """For each text n_a, n_b, n_groups, n_links and its groups' digest; and all distinct links as a << 40 | b << 16 | text, sorted, with their multiplicities."""
     both = [_tokens(t, one, two) for t in texts]
     n = np.array([(len(a), len(b)) for a, b in both], np.int64).reshape(-1, 2)
     ids = [np.concatenate([*(x[k] for x in both), np.empty(0, np.int64)]) for k in (0, 1)]
@@ -158,7 +158,7 @@ def align(texts: list[str | None], one, two, size_a: np.ndarray, size_b: np.ndar
         (a, na), (b, nb) = (np.unique(ids[s][begin[s][k] : begin[s][k] + held[s][k]], return_counts=True) for s in (0, 1))
         more = ((a[:, None] << 40) | (b[None, :] << 16) | text_of[k]).ravel()
         link, times = _summed(np.concatenate([link, more]), np.concatenate([times, np.outer(na, nb).ravel()]))
-    return (n[:, 0], n[:, 1], n_groups, n_links, digests), (link >> 40, (link >> 16) & 0xFFFFFF, link & 0xFFFF, times)
+    return (n[:, 0], n[:, 1], n_groups, n_links, digests), (link, times)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -186,17 +186,44 @@ def _batch(n: int, **columns) -> pa.RecordBatch:
 
 def _encode(rows: Iterator[pa.RecordBatch], a: str, b: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each A id of a slice of documents: its postings, from the slice's first row."""
-    own = sides(a, b, pattern)
-    for batch in batches(rows):
+    own, held = sides(a, b, pattern), _Postings()
+    for batch in batches(rows, SLICE_BYTES):
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            told, (ids, other, text, times) = align(part.column(2).to_pylist(), *own)
+            base = part.column(0)[0].as_py()
+            if held.full(base + part.num_rows):
+                yield from held.emptied()
+            told, links = align(part.column(2).to_pylist(), *own)
             names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
             yield _batch(part.num_rows, row=part.column(0), doc_id=part.column(1), **dict(zip(names, told)))
-            cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)]), len(ids))
-            found, base = ids[cuts[:-1]], part.column(0)[0].as_py()
-            if len(found):
-                yield _batch(len(found), row=np.full(len(found), base), a=found.astype(np.int32), size=np.diff(cuts), b=_packed(other, np.int32, cuts), text=_packed(text, np.uint16, cuts), times=_packed(times, np.int32, cuts))
+            held.add(base, *links)
+    yield from held.emptied()
+
+
+class _Postings:
+    """Links of neighbouring rows, from a first row on, until they are many or too far from it."""
+
+    def __init__(self):
+        self.base, self.keys, self.times, self.size = None, [], [], 0
+
+    def full(self, end: int) -> bool:
+        return self.base is not None and (self.size > HELD or not 0 < end - self.base <= SLICE)
+
+    def add(self, row: int, keys: np.ndarray, times: np.ndarray) -> None:
+        self.base = row if self.base is None else self.base
+        self.keys.append(keys + (row - self.base))
+        self.times.append(times.astype(np.int32))
+        self.size += len(keys)
+
+    def emptied(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, times = np.concatenate(self.keys), np.concatenate(self.times)
+            order = np.argsort(keys)
+            keys, times, ids = keys[order], times[order], keys[order] >> 40
+            cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids))
+            found = ids[cuts[:-1]]
+            yield _batch(len(found), row=np.full(len(found), self.base), a=found.astype(np.int32), size=np.diff(cuts), b=_packed((keys >> 16) & 0xFFFFFF, np.int32, cuts), text=_packed(keys & 0xFFFF, np.uint16, cuts), times=_packed(times, np.int32, cuts))
+        self.__init__()
 
 
 def _unpack(column: pa.Array, kind: type) -> np.ndarray:
