@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import alignment, bpe, decontaminate, fim, language, lm, quality_model, quality_rules, records, secrets, sql
+from trackmill.llm import alignment, bpe, decontaminate, fim, language, lm, ngram_join, quality_model, quality_rules, records, secrets, sql
 from trackmill.llm.common import table
 from trackmill.llm.simhash import simhash_components
 from trackmill.llm.substring import substring_dedup
@@ -67,6 +67,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_records": op8_records,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_model": op10_quality_model,
+        "op11_ngram_join": op11_ngram_join,
         "op12_fim": op12_fim,
         "op13_token_alignment": op13_token_alignment,
     }
