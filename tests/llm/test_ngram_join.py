@@ -58,7 +58,7 @@ def test_against_every_pair(spark, data):
 
 def test_small_blocks_and_buckets(spark, data, monkeypatch):
     """Clusters of many blocks, tiles, lists that are shuffled and hot sets by broadcast change nothing."""
-    for name, value in {"BLOCK_ROWS": 12, "BUCKET_ENTRIES": 500, "TILE_ROWS": 3, "TILE_COLUMNS": 16, "LIGHT": 2, "LISTED": 0, "SHARE": 100, "COMMON": 50}.items():
+    for name, value in {"BLOCK_ROWS": 12, "BUCKET_ENTRIES": 500, "TILE_ROWS": 3, "TILE_COLUMNS": 16, "LIGHT": 2, "LISTED": 0, "SHARE": 100, "CROWD": 2}.items():
         monkeypatch.setattr(ngram_join, name, value)
     check(spark, data[-130:])
 

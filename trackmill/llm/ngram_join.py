@@ -5,17 +5,18 @@ of every intersection. It is computed only where it can matter:
 
 * Texts with equal sets are one row.
 * A row's rarest columns index it: in one global order of columns, two sets similar enough share one among
-  the first ``n - ceil(t n) + 1`` of each. Rows that share such a column and whose sizes allow a link are joined
-  into clusters, by chains and not by pairs: sorted by size, each to the next. Of a column that many rows hold, a task
-  forwards only the runs of sizes it saw. Rows of different clusters can't link.
+  the first ``n - ceil(t n) + 1`` of each. The order is by exact counts over all rows: every entry of M is filed under
+  its column's bucket, and what comes back are the columns that several rows hold. A row whose first columns are all its own
+  links with nothing. Of a column that very many rows of a batch hold, only their number is filed.
+* Rows that share a first column and whose sizes allow a link are joined into clusters, by chains and not by pairs: sorted
+  by size, each to the next. A task forwards only the runs of sizes it saw of a column. Rows of different
+  clusters can't link.
 * A cluster is cut into blocks of bounded size, and blocks are multiplied in tasks over complete rows: overlap
   counts add up column block by column block, and pairs (and pairs of row blocks) are dropped where
   their sizes alone rule a link out. A task emits links that span what it found linked, never all of them.
 * Of clusters beyond one block, first each block meets itself and the first block. What is then outside the
   cluster's largest component meets all its blocks. So a large group of near copies costs about its size, and every
   pair that isn't joined by links already is multiplied.
-
-The order of columns is estimated on a sample of documents. It decides what the clusters cost, never the result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ from trackmill.llm.components import connected_components
 from trackmill.llm.substring import _cuts, _packed
 
 SHINGLE, PERCENT = 5, 80
-#: Documents in the sample that orders the columns, and columns that are put last, at most.
-SAMPLE, COMMON = 20_000, 200_000
+#: Rows of one batch that hold a column, beyond which their number is filed once.
+CROWD = 64
+#: Bytes of a column's hash that are filed in its bucket.
+FILED = 6
 #: Index entries in a bucket, rows and columns' entries of a row block, entries in a task of small clusters: about.
 BUCKET_ENTRIES, BLOCK_ROWS, BLOCK_ENTRIES, TASK_ENTRIES = 1_000_000, 1024, 2_000_000, 4_000_000
 #: Columns with at most so many rows of a task are counted pair by pair, others as dense tiles of rows and columns.
@@ -52,43 +56,124 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(rolling(word_hashes(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def _sampled(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows):
-        found, n = np.unique(np.concatenate([*(shingles(t, shingle) for t in text_bytes(batch.column(0))), np.empty(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["s", "n"])
-
-
-def common_columns(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns that two documents of a sample hold, sorted, and how many hold each."""
-    total = docs.count()
-    share = round(min(1.0, SAMPLE / max(total, 1)) * (1 << 20))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
-    top = some.mapInArrow(partial(_sampled, shingle=shingle), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
-    s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
 def _key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _print(rows: Iterator[pa.RecordBatch], common, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each document its set's key and size, and its first columns in the global order."""
-    last, counts = common.value
+def _read(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of each document its set's key and size, and its text, packed, where the batch holds no earlier one of the set."""
+    pack = zstandard.ZstdCompressor(level=1)
     for batch in batches(rows):
-        keys, sizes, firsts = [], [], []
-        for text in text_bytes(batch.column(1)):
+        keys, sizes, held, seen = [], [], [], set()
+        for text in text_bytes(batch.column(2)):
             own = shingles(text, shingle)
-            n = len(own)
-            held = np.zeros(n, np.int64)
-            if len(last) and n:
-                at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-                held = np.where(last[at] == own, counts[at], 0)
             keys.append(_key(own))
-            sizes.append(n)
-            firsts.append(own[np.argsort(held, kind="stable")[: n + (-percent * n // 100) + 1 if n else 0]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "key", "n", "first"])
+            sizes.append(len(own))
+            held.append(pack.compress(text) if len(own) and keys[-1] not in seen else None)
+            seen.add(keys[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary())], ["node", "doc_id", "key", "n", "held"])
+
+
+def _slices(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """First node, distances from it and texts of rows that are near enough to it to be told by four bytes."""
+    for batch in batches(rows, 6 << 20):
+        node = batch.column(0).to_numpy()
+        cuts = _cuts(node >> 31)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(node[x:y].min()), node[x:y] - node[x:y].min(), batch.column(1).slice(x, y - x).to_pylist()
+
+
+_FILED = "bucket int, base long, s binary, far binary, n binary"
+#: Distance that stands for a crowd of rows.
+ALL = (1 << 32) - 1
+
+
+def _file(rows: Iterator[pa.RecordBatch], shingle: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries of M by bucket of their column. A slice also sends itself (bucket -1) the sizes of its rows and what crowds hold."""
+    unpack = zstandard.ZstdDecompressor()
+    for base, far, texts in _slices(rows):
+        sets = [shingles(unpack.decompress(t), shingle) for t in texts]
+        n = np.array([len(x) for x in sets], np.int64)
+        s, who = np.concatenate(sets), np.repeat(far.astype(np.uint32), n)
+        bucket = (mix(s) % np.uint64(buckets)).astype(np.int64)
+        s = s & np.uint64((1 << 8 * FILED) - 1)
+        order = np.lexsort((s, bucket))
+        s, who, bucket = s[order], who[order], bucket[order]
+        columns = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1])))
+        held = np.diff(np.append(columns, len(s)))
+        crowd = np.repeat(held > CROWD, held)
+        keep = ~crowd
+        keep[columns] = True
+        out = [(-1, base, b"", far.astype(np.uint32).tobytes(), n.tobytes())]
+        if crowd.any():
+            out.append((-1, base, _column(s[crowd], bucket[crowd]).tobytes(), who[crowd].tobytes(), b""))
+        count = np.repeat(np.where(held > CROWD, held, 1), held)[keep].astype(np.int32)
+        who = np.where(crowd, np.uint32(ALL), who)[keep]
+        s, bucket = s[keep], bucket[keep]
+        cuts = _cuts(bucket)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            planes = s[x:y].view(np.uint8).reshape(-1, 8)[:, :FILED].T  # sorted, so the first bytes of neighbours are alike
+            out.append((int(bucket[x]), base, planes.tobytes(), who[x:y].tobytes(), count[x:y].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "base", "s", "far", "n"])
+
+
+def _column(s: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """One number for a column: what is filed of its hash, and its bucket."""
+    return ((s.astype(np.int64) << 16) | (bucket & 0xFFFF)).astype(np.int64)
+
+
+_SHARED = "base long, column binary, far binary, n binary"
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """The entries of one bucket whose column several rows hold, with their number, by slice."""
+    bucket = group["bucket"][0].as_py()
+    if bucket < 0:
+        return pa.table([group["base"], group["s"], group["far"], group["n"]], names=["base", "column", "far", "n"])
+    parts = [np.zeros((len(f) // 4, 8), np.uint8) for f in group["far"].to_pylist()]
+    for part, raw in zip(parts, group["s"].to_pylist()):
+        part[:, :FILED] = np.frombuffer(raw, np.uint8).reshape(FILED, -1).T
+    s = np.concatenate(parts).view(np.uint64).ravel()
+    base = np.repeat(group["base"].to_numpy(), [len(p) for p in parts])
+    far, n = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("far", np.uint32), ("n", np.int32)))
+    order = np.argsort(s, kind="stable")
+    cuts = _cuts(s[order])
+    total = np.repeat(np.add.reduceat(n[order].astype(np.int64), cuts[:-1]), np.diff(cuts))
+    order, total = order[total > 1], total[total > 1]
+    back = np.argsort(base[order], kind="stable")
+    order, total = order[back], total[back]
+    cuts = _cuts(base[order])
+    return pa.table([pa.array(base[order][cuts[:-1]]), _packed(_column(s[order], bucket), cuts), _packed(far[order], cuts), _packed(total, cuts)], names=["base", "column", "far", "n"])
+
+
+def _first(group: pa.Table, percent: int) -> pa.Table:
+    """The rows of a slice that share a column among their first ones: node, n, and which of the first columns are shared."""
+    base, sizes, crowds, answers = group["base"][0].as_py(), [], [], []
+    for column, far, n in zip(*(group[c].to_pylist() for c in ("column", "far", "n"))):
+        entry = np.frombuffer(column, np.int64), np.frombuffer(far, np.uint32), np.frombuffer(n, np.int64)
+        (sizes if not column else crowds if not n else answers).append(entry)
+    far, n = sizes[0][1], sizes[0][2]
+    column, who, total = (np.concatenate([*(x[i] for x in answers), np.empty(0, np.int64)]).astype(np.int64) for i in range(3))
+    whole = who == ALL
+    if whole.any():
+        known = np.argsort(column[whole])
+        names, counts = column[whole][known], total[whole][known]
+        inside, holders = (np.concatenate([x[i] for x in crowds]).astype(np.int64) for i in (0, 1))
+        column = np.concatenate([column[~whole], inside])
+        who = np.concatenate([who[~whole], holders])
+        total = np.concatenate([total[~whole], counts[np.searchsorted(names, inside)]])
+    order = np.argsort(far)
+    far, n = far[order].astype(np.int64), n[order]
+    at = np.searchsorted(far, who)
+    order = np.lexsort((column, total, at))
+    column, at = column[order], at[order]
+    shared = np.bincount(at, minlength=len(far))
+    taken = n + (-percent * n // 100) + 1 - (n - shared)
+    rank = np.arange(len(at)) - (np.cumsum(shared) - shared)[at]
+    column, at = column[rank < taken[at]], at[rank < taken[at]]
+    cuts = _cuts(at)
+    some = at[cuts[:-1]]
+    return pa.table([pa.array(far[some] + base), pa.array(n[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(column))], names=["node", "n", "first"])
 
 
 _RUNS = "bucket int, s binary, lo binary, more binary, high binary, low binary, a binary, b binary"
@@ -135,15 +220,6 @@ def _meet(group: pa.Table, percent: int) -> pa.Table:
     return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
 
 
-def _texts(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Key and text of documents, once for each set of a batch."""
-    for batch in batches(rows):
-        found = {}
-        for text in text_bytes(batch.column(0)):
-            found.setdefault(_key(shingles(text, shingle)), text)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["key", "text"])
-
-
 def overlaps(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Intersection sizes of rows sorted by size, above the diagonal; zero where sizes rule a link out."""
     rows, n = len(sets), np.array([len(x) for x in sets])
@@ -196,7 +272,8 @@ def _product(nodes: np.ndarray, sides: np.ndarray, texts: list[bytes], shingle:
     """Spanning links of one task of a cluster; two rows of side 1 don't meet here."""
     first = np.lexsort((sides, nodes))
     first = first[np.append(True, nodes[first][1:] != nodes[first][:-1])]
-    sets = [shingles(texts[i], shingle) for i in first.tolist()]
+    unpack = zstandard.ZstdDecompressor()
+    sets = [shingles(unpack.decompress(texts[i]), shingle) for i in first.tolist()]
     order = np.argsort([len(x) for x in sets], kind="stable")
     sets, first = [sets[i] for i in order], first[order]
     n = np.array([len(x) for x in sets])
@@ -220,26 +297,31 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= LISTED else ids
 
 
-def _clusters(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, cluster) of nodes that can link with another; nodes of different clusters can't."""
-    spark = nodes.sparkSession
-    entries = nodes.agg(F.sum(F.size("first"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ENTRIES)
-    dealt = nodes.select("node", "n", "first").mapInArrow(partial(_deal, buckets=buckets, percent=percent), _RUNS)
-    met = settle(dealt.groupBy("bucket").applyInArrow(lambda group: _meet(group, percent), "a long, b long"), "join-met")
+def _clusters(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, cluster) of those rows(node, n, held) that can link with another; rows of different clusters can't."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES)
+    filed = rows.select("node", "held").mapInArrow(partial(_file, shingle=shingle, buckets=buckets), _FILED)
+    home = F.when(F.col("bucket") < 0, F.col("base")).otherwise(-1)
+    shared = settle(filed.groupBy("bucket", home).applyInArrow(_shared, _SHARED), "join-shared")
+    first = settle(shared.groupBy("base").applyInArrow(lambda group: _first(group, percent), "node long, n int, first array<long>"), "join-first")
+    discard(spark, shared)
+    buckets = max(parts, (first.agg(F.sum(F.size("first"))).first()[0] or 0) // BUCKET_ENTRIES)
+    dealt = first.mapInArrow(partial(_deal, buckets=buckets, percent=percent), _RUNS)
+    met = settle(dealt.groupBy("bucket").applyInArrow(lambda group: _meet(group, percent), "a long, b long"), "join-met", free=False)
     found = connected_components(met)
-    discard(spark, met)
+    for done in (first, met):
+        discard(spark, done)
     return settle(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster"), "join-clusters", free=False)
 
 
-def _gather(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """node, cluster, n, blocks of its cluster, text: one document's text for each member (rarely several, of the same set)."""
-    size = members.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ENTRIES)).alias("blocks"))
-    known = settle(members.join(nodes.select("node", "key", "n", "least"), "node").join(size, "cluster").select("node", "cluster", "n", "blocks", "key", "least"), "join-members", free=False)
-    wanted = settle(known.select(F.col("least").alias("doc_id")).distinct(), "join-ids", free=False)
-    rows = docs.join(_listed(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    texts = rows.mapInArrow(partial(_texts, shingle=shingle), "key binary, text binary")
-    return settle(texts.join(_listed(known.drop("least")), "key").drop("key"), "join-texts")
+def _gather(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """node, cluster, n, blocks of its cluster, text (packed) of each member."""
+    sizes = rows.select("node", "n").join(_listed(members), "node")
+    size = settle(sizes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ENTRIES)).alias("blocks")), "join-sizes", free=False)
+    found = rows.select("node", "n", F.col("held").alias("text")).join(_listed(members), "node").join(_listed(size), "cluster")
+    return settle(found.select("node", "cluster", "n", "blocks", "text"), "join-texts")
 
 
 def _verified(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -279,15 +361,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     that connect all that such pairs do.
     """
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_columns(docs, shingle))
-    prints = settle(docs.mapInArrow(partial(_print, common=common, shingle=shingle, percent=percent), "doc_id long, key binary, n int, first array<long>"), "join-prints")
-    keys = settle(prints.select("doc_id", "key", "n"), "join-keys", free=False)
-    one = F.any_value
-    nodes = settle(prints.where("n > 0").groupBy("key").agg(one("n").alias("n"), one("first").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    discard(spark, prints)
-    rows = _gather(docs, nodes, _clusters(nodes, percent), shingle)
-    links = _verified(rows, shingle, percent)
-    discard(spark, rows)
+    numbered = docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text")
+    read = settle(numbered.mapInArrow(partial(_read, shingle=shingle), "node long, doc_id long, key binary, n int, held binary"), "join-read", free=False)
+    keys = read.select("doc_id", "key", "n")
+    held = F.when(F.col("held").isNotNull(), F.col("node"))
+    nodes = settle(read.where("n > 0").groupBy("key").agg(F.min(held).alias("node"), F.count(held).alias("times"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "join-nodes")
+    later = read.where("held is not null").select("node", "key").join(_listed(nodes.where("times > 1").select("key", F.col("node").alias("first"))), "key").where("node != first").select("node")
+    rows = read.where("held is not null").join(_listed(settle(later, "join-later", free=False)), "node", "left_anti").select("node", "n", "held")
+    found = _gather(rows, _clusters(rows, shingle, percent))
+    links = _verified(found, shingle, percent)
+    discard(spark, found)
     return keys, nodes, links
 
 
