@@ -38,6 +38,8 @@ from trackmill.llm.substring import _cuts, _packed
 SHINGLE, PERCENT = 5, 80
 #: Rows of one batch that hold a column, beyond which their number is filed once.
 CROWD = 64
+#: Packed bytes of text in a slice whose entries are filed together, about.
+SLICE_BYTES = 2 << 20
 #: Bytes of a column's hash that are filed in its bucket.
 FILED = 6
 #: Index entries in a bucket, rows and columns' entries of a row block, entries in a task of small clusters: about.
@@ -63,7 +65,7 @@ def _key(own: np.ndarray) -> bytes:
 def _read(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Of each document its set's key and size, and its text, packed, where the batch holds no earlier one of the set."""
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches(rows):
+    for batch in batches(rows, 4 * SLICE_BYTES):
         keys, sizes, held, seen = [], [], [], set()
         for text in text_bytes(batch.column(2)):
             own = shingles(text, shingle)
@@ -76,7 +78,7 @@ def _read(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBat
 
 def _slices(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """First node, distances from it and texts of rows that are near enough to it to be told by four bytes."""
-    for batch in batches(rows, 6 << 20):
+    for batch in batches(rows, SLICE_BYTES):
         node = batch.column(0).to_numpy()
         cuts = _cuts(node >> 31)
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
