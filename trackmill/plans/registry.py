@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.plans import analytics, catalogue, detections, events, identity, joins, review, trajectory
+from trackmill.plans import analytics, catalogue, datasets, detections, events, identity, joins, review, trajectory
 
-MODULES = (trajectory, joins, analytics, identity, events, detections, catalogue, review)
+MODULES = (trajectory, joins, analytics, identity, events, detections, catalogue, review, datasets)
 
 
 def queries() -> dict:
