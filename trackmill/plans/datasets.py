@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import datasets as ds
+from trackmill.operators import edits, graphs
 from trackmill.plans.common import registry
 from trackmill.sources import adapters as src
+from trackmill.sources import caches
 
 QUERIES, SQL, query = registry()
 WIDTH, HEIGHT = 1000, 1000
@@ -78,3 +83,40 @@ def class_folder_files(spark, sf):
     image = F.concat_ws("/", F.lit("/src"), F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string"), name)
     split = F.get(F.array(*map(F.lit, ds.SPLITS)), (F.col("doc_id") % 3).cast("int"))
     return ds.class_folders(d.select(image.alias("image"), F.col("lang").alias("label"), split.alias("split")))
+
+
+@query("cached_tags", src.with_sql("tags", 'SELECT "FrameID", "TagID", "CX", "CY" FROM tags WHERE "FrameID" BETWEEN 20 AND 400'))
+def cached_tags(spark, sf):
+    """All tags through a cache that is written in three ranges, the last in place of wrong rows."""
+    tags = src.tag_observations(spark, sf)
+    last = tags.agg(F.max("FrameID")).first()[0] or 0
+    graphs.ensure_checkpoints(spark)
+    cache = caches.FrameCache(spark, f"{spark.sparkContext.getCheckpointDir()}/caches-{uuid.uuid4().hex}", "tags", {"from": sf}, block=64)
+    rows = tags.select("FrameID", "TagID", "CX", "CY", F.lit(None).alias("Corners"), F.lit(None).alias("DetectionIndex"), F.lit(None).alias("Hamming"))
+    cache.write(rows.where("FrameID < 100").withColumn("CX", F.col("CX") + 1), 0, 99)
+    cache.write(rows.where("FrameID >= 100"), 100, max(100, last))
+    cache.write(rows.where("FrameID < 100"), 0, 99)
+    return cache.read(20, 400).select("FrameID", "TagID", "CX", "CY")
+
+
+@query("embedding_changes", """SELECT coalesce(a.path, b.path) AS "Path", CASE WHEN b.path IS NULL THEN 'remove' WHEN a.path IS NULL THEN 'add' WHEN a.m = b.m AND a.whole THEN 'keep' ELSE 'update' END AS "Change"
+FROM (SELECT 'd/' || doc_id AS path, n_chars AS m, doc_id % 11 <> 0 AS whole FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT 'd/' || doc_id AS path, n_chars + (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS m FROM documents WHERE doc_id % 4 <> 0) b ON a.path = b.path""")
+def embedding_changes(spark, sf):
+    d = src.table(spark, sf, "documents")
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("Path")
+    stored = d.where("doc_id % 5 <> 0").select(path, F.col("n_chars").alias("Modified"), F.when(F.col("doc_id") % 11 != 0, F.array(F.lit(1.0))).alias("Embedding"))
+    listing = d.where("doc_id % 4 <> 0").select(path, (F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("Modified"))
+    return caches.embedding_changes(stored, listing).select("Path", "Change")
+
+
+@query("standing_edits", """WITH RECURSIVE log AS (SELECT user_id AS "Session", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS "Seq", event_type = 'error' OR event_type = 'view' AS undo FROM events),
+r AS (SELECT *, sum(CASE WHEN undo THEN -1 ELSE 1 END) OVER (PARTITION BY "Session" ORDER BY "Seq") AS s FROM log),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY "Session" ORDER BY "Seq")) AS depth FROM r),
+f AS (SELECT *, min(depth) OVER (PARTITION BY "Session" ORDER BY "Seq" ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d)
+SELECT "Session", "Seq" FROM f WHERE NOT undo AND (later IS NULL OR later >= depth)""")
+def standing_edits(spark, sf):
+    """Events of a user as an edit log in which errors and views undo."""
+    undo = F.col("event_type").isin("error", "view")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    log = src.table(spark, sf, "events").select(F.col("user_id").alias("Session"), seq.alias("Seq"), F.when(undo, "undo").otherwise("delete").alias("Op"), F.col("event_id").alias("FragID"))
+    return edits.standing(log).select("Session", "Seq")
