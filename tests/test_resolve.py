@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from trackmill.operators import graphs
 from trackmill.operators import resolve as r
 from trackmill.operators import sequences as seq
 
@@ -142,3 +143,12 @@ def test_dense_ids_follow_the_order(spark):
     keys = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "a long, b long")
     got = [x.n for x in seq.dense_ids(keys, ["a", "b"], "n", 8).orderBy("a", "b").collect()]
     assert got == list(range(101))
+
+
+def test_links_in_a_circle_raise(spark):
+    frame = lambda pairs: spark.createDataFrame(pairs, "source long, target long")
+    for pairs in ([(1, 2), (2, 1)], [(5, 5)], [(1, 2), (2, 3), (3, 1), (7, 8)]):
+        with pytest.raises(ValueError, match="circle"):
+            graphs.chain_heads(frame(pairs))
+    assert graphs.chain_heads(frame([])).collect() == []
+    assert {(r.node, r.head, r.place) for r in graphs.chain_heads(frame([(i, i + 1) for i in range(17)] + [(50, 51)])).collect()} == {(i + 1, 0, i + 1) for i in range(17)} | {(51, 50, 1)}

@@ -41,16 +41,19 @@ def components(edges: DataFrame) -> DataFrame:
 def chain_heads(links: DataFrame) -> DataFrame:
     """(node, head, place) for every target of links(source, target), of which each node has one in and one out at most.
 
-    place counts the links from the head. Pointers jump to their pointer's pointer; links must not run in a circle.
+    place counts the links from the head. Pointers jump to their pointer's pointer, so chains of n links take log2(n)
+    rounds; links that still move after that run in a circle, and raise ValueError with one of its nodes.
     """
     ensure_checkpoints(links.sparkSession)
     now = links.select(F.col("target").alias("node"), F.col("source").alias("head"), F.lit(1).cast("long").alias("place")).checkpoint()
-    while True:
+    for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("node").alias("head"), F.col("head").alias("_far"), F.col("place").alias("_more"))
         new = now.join(ahead, "head", "left").select("node", F.coalesce("_far", "head").alias("head"), (F.col("place") + F.coalesce("_more", F.lit(0))).alias("place"), F.col("_far").isNotNull().alias("_moved")).checkpoint()
         now = new.drop("_moved")
-        if new.where("_moved").isEmpty():
+        circle = new.where("_moved").select("node").first()
+        if circle is None:
             return now
+    raise ValueError(f"links run in a circle at {circle['node']}")
 
 
 def by_component(edges: DataFrame, a: str, b: str, largest: int) -> tuple[DataFrame, DataFrame]:

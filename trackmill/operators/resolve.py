@@ -180,16 +180,17 @@ def _merge_two(near: float, least: int):
     return merge
 
 
-def merge_agreeing(rows: DataFrame, near: float, overlap: int, least: int, most_rounds: int = 50) -> DataFrame:
+def merge_agreeing(rows: DataFrame, near: float, overlap: int, least: int) -> DataFrame:
     """Merge tracks of one set that overlap and agree, pair by pair in id order, until no pair does.
 
     Frames that agree merge to their mean; others continue the main track if they are near its last place,
     else they stand in tracks of their own; pieces of fewer than ``least`` rows go. Each pair is merged by
-    one task, which holds the rows of two tracks. Raises RuntimeError if pairs remain after ``most_rounds``.
+    one task, which holds the rows of two tracks. Rounds go on while the table changes; RuntimeError if one comes back.
     """
     pairs.ensure_checkpoints(rows.sparkSession)
     cols = [FRAME, "X", "Y", "Theta", "State", "DetectionID", "DetectionConfidence"]
-    for _ in range(most_rounds):
+    seen = set()
+    while True:
         found = agreeing_pairs(rows, near, overlap).withColumn("score", F.lit(0))
         chosen = pairs.greedy_matches(found, "AID", "BID", "score", one_set=True).select("AID", "BID").checkpoint()
         if chosen.isEmpty():
@@ -206,7 +207,10 @@ def merge_agreeing(rows: DataFrame, near: float, overlap: int, least: int, most_
         rest = rows.join(ends, TRACK, "left_anti").select(F.col(TRACK).alias("_a"), F.lit(0).alias("_piece"), *cols)
         whole = rest.unionByName(merged).checkpoint()
         rows = seq.renumber(whole, ["_a", "_piece"], TRACK).select(TRACK, *cols).checkpoint()
-    raise RuntimeError(f"agreeing tracks remain after {most_rounds} rounds")
+        state = tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64(TRACK, *cols)), F.sum(F.xxhash64(FRAME, TRACK, "X", "Y").cast("decimal(38,0)"))).first())
+        if state in seen:
+            raise RuntimeError("merging comes back to an earlier table")
+        seen.add(state)
 
 
 def stitch(rows: DataFrame, max_gap: int = 3, near: float = 30.0) -> DataFrame:
