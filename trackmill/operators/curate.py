@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.operators import graphs
+from trackmill.operators import graphs, metric
 from trackmill.operators.graphs import ensure_checkpoints
 
 
@@ -153,24 +153,6 @@ def capped_per_group(rows: DataFrame, group: str, order: list, cap: int) -> Data
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= cap).drop("_rank")
 
 
-def _grid_pairs(points: DataFrame, wide: float) -> DataFrame:
-    """(AID, BID, _a, _b), AID < BID, of points(_id, _r) that can be ``wide`` apart: they meet in a grid over the two axes that spread the most."""
-    spread = points.select(F.posexplode("_r").alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("s")).orderBy(F.desc("s"), "i").limit(2).collect()
-    axes = [r.i for r in spread]
-    cells = F.array(*[F.floor(F.get("_r", F.lit(i)) / wide).cast("long") for i in axes]) if axes else F.array().cast("array<long>")
-    steps = [[]]
-    for _ in axes:
-        steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
-    around = F.array(*[F.array(*map(F.lit, s)).cast("array<long>") for s in steps])
-    a = points.select(F.col("_id").alias("AID"), F.col("_r").alias("_a"), F.explode(F.transform(around, lambda o: F.zip_with(cells, o, lambda c, x: c + x))).alias("_cell"))
-    b = points.select(F.col("_id").alias("BID"), F.col("_r").alias("_b"), cells.alias("_cell"))
-    return a.join(b, "_cell").where("AID < BID").drop("_cell")
-
-
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def histogram_pairs(rows: DataFrame, id_column: str, histogram: str, limit: float) -> DataFrame:
     """(AID, BID, Distance), AID < BID, of histograms whose Bhattacharyya distance is at most ``limit``.
 
@@ -178,8 +160,8 @@ def histogram_pairs(rows: DataFrame, id_column: str, histogram: str, limit: floa
     """
     total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
     roots = rows.select(F.col(id_column).alias("_id"), F.transform(histogram, lambda x: F.sqrt(F.when(total > 0, x / total).otherwise(0.0))).alias("_r"))
-    far = F.sqrt(F.greatest(F.lit(0.0), 1 - _dot("_a", "_b")))
-    return _grid_pairs(roots, limit * 2**0.5).select("AID", "BID", far.alias("Distance")).where(F.col("Distance") <= limit)
+    far = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("Dot")))
+    return metric.close_pairs(roots, limit * 2**0.5).select("AID", "BID", far.alias("Distance")).where(F.col("Distance") <= limit)
 
 
 def unit(vector: Column) -> Column:
@@ -191,7 +173,12 @@ def unit(vector: Column) -> Column:
 def cosine_pairs(rows: DataFrame, id_column: str, vector: str, least: float) -> DataFrame:
     """(AID, BID, Similarity), AID < BID, of a cosine of at least ``least``: unit vectors at most the root of 2 - 2 * least apart."""
     points = rows.select(F.col(id_column).alias("_id"), unit(F.col(vector)).alias("_r"))
-    return _grid_pairs(points, (2 - 2 * least) ** 0.5 + 1e-9).select("AID", "BID", _dot("_a", "_b").alias("Similarity")).where(F.col("Similarity") >= least)
+    return metric.close_pairs(points, (2 - 2 * least) ** 0.5 + 1e-9).select("AID", "BID", F.col("Dot").alias("Similarity")).where(F.col("Similarity") >= least)
+
+
+def cosine_filter(rows: DataFrame, id_column: str, vector: str, least: float) -> DataFrame:
+    """(id, KeptID): in id order a vector is dropped if its cosine with a kept one is at least ``least``."""
+    return keep_first(rows, id_column, cosine_pairs(rows, id_column, vector, least))
 
 
 def clusters(rows: DataFrame, id_column: str, vector: str, k: int, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.operators import graphs
+from trackmill.operators import graphs, metric
 from trackmill.operators.sequences import FRAME, TRACK, last_per_frame
 
 
@@ -243,19 +243,9 @@ def consensus(forward: DataFrame, backward: DataFrame, near: float = 15.0) -> Da
     return merged.select(TRACK, FRAME, "Class", pick("X", (F.col("aX") + F.col("bX")) / 2), pick("Y", (F.col("aY") + F.col("bY")) / 2), pick("State", state), pick("DetectionConfidence", F.greatest("aDetectionConfidence", "bDetectionConfidence")))
 
 
-def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 64) -> DataFrame:
-    """(QueryID, NeighbourID, Distance, Rank): exact k nearest by L2; itself excluded, ties by id.
-
-    The query set is stated; it is spread over ``block`` groups and every row meets every group once, so
-    what a task holds is one group. Partial top-k lists merge through one more aggregation.
-    """
-    q = queries.select(F.col(id_column).alias("QueryID"), F.col(vector).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("QueryID"), F.lit(block)))
-    grouped = q.groupBy("_block").agg(F.collect_list(F.struct("QueryID", "_q")).alias("_queries"))
-    spread = rows.select(F.col(id_column).alias("NeighbourID"), F.col(vector).alias("_v")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
-    pairs = spread.join(grouped, "_block").select("NeighbourID", "_v", F.explode("_queries").alias("_e")).select("NeighbourID", F.col("_e.QueryID").alias("QueryID"), F.zip_with("_v", F.col("_e._q"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))).alias("_s")).where("NeighbourID <> QueryID")
-    scored = pairs.select("QueryID", "NeighbourID", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)).alias("Distance"))
-    rank = F.row_number().over(Window.partitionBy("QueryID").orderBy("Distance", "NeighbourID"))
-    return scored.withColumn("Rank", rank).where(F.col("Rank") <= k)
+def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(QueryID, NeighbourID, Distance, Rank): exact k nearest by L2; itself excluded, ties by id. See ``metric.nearest``."""
+    return metric.nearest(queries, rows, k, id_column, vector)
 
 
 def assign_greedily(costs: DataFrame, cull: float) -> DataFrame:

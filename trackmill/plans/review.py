@@ -315,3 +315,8 @@ def greedy_assignment(spark, sf):
     a, b = src.forward_tracks(spark, sf), src.backward_tracks(spark, sf)
     met = pairs._close(pairs._side(a, "A"), pairs._side(b, "B"), 5.0)
     return pairs.assign_greedily(met.select("FrameID", F.col("AID").alias("TrackID"), F.col("BID").alias("DetectionID"), F.col("_d").alias("Cost")), 5.0)
+
+
+@query("cosine_filter")
+def cosine_filter(spark, sf):
+    return curate.cosine_filter(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.40137)
