@@ -56,7 +56,8 @@ def settle(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df
-    for _ in range(3 * free):  # the plan goes when its Python handle and the events that carry it are gone
+    shuffled = free and not spark.sparkContext.master.startswith("local[")  # one machine's shuffle files go when it ends
+    for _ in range(3 * shuffled):  # the plan goes when its Python handle and the events that carry it are gone
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
