@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators import ranks
+
 
 def folder(path: Column) -> Column:
     """The parent of a path; empty for a bare name."""
@@ -136,10 +138,10 @@ def tokens_of(spec: Column, names: list[str]) -> Column:
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key N, Mean and for each share the value at index int(n * share) of the sorted values, clipped to the last."""
-    sorted_values = F.sort_array(F.collect_list(value))
-    found = rows.groupBy(*keys).agg(F.count(value).alias("N"), F.avg(value).alias("Mean"), sorted_values.alias("_all"))
-    at = lambda q: F.element_at("_all", F.least(F.floor(F.col("N") * q).cast("int") + 1, F.col("N").cast("int")))
-    return found.select(*keys, "N", "Mean", *[at(q).alias(name) for name, q in shares.items()])
+    mean = rows.groupBy(*keys).agg(F.avg(value).alias("Mean")).alias("m")
+    found = ranks.at_ranks(rows, keys, value, {name: ranks.share(q) for name, q in shares.items()}).alias("f")
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return mean.join(found, same, "left").select(*[F.col(f"m.{k}") for k in keys], F.coalesce("f.N", F.lit(0)).alias("N"), "Mean", *shares)
 
 
 def profile(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -73,10 +73,14 @@ def rank_percentile(values: Column, share: float) -> Column:
 
 
 def exponential_mean(rows: DataFrame, column: str, keys: list[str], order: list[str], alpha: float) -> DataFrame:
-    """(keys, Ewma): exponentially weighted mean along the order, starting at the first value. One fold per key."""
-    kept = rows.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_v")))).alias("_s"))
-    fold = F.aggregate(F.slice("_s", F.lit(2), F.size("_s")), F.get("_s", F.lit(0))["_v"], lambda m, x: m + alpha * (x["_v"] - m))
-    return kept.select(*keys, fold.alias("Ewma"))
+    """(keys, Ewma): exponentially weighted mean along the order, starting at the first value; ties by value.
+
+    In closed form: each value has the weight that all later ones leave it. So ranks from the end are all that is needed.
+    """
+    backwards = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in [*order, column]])
+    aged = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"), (F.row_number().over(backwards) - 1).alias("_age"), F.lead(F.lit(1)).over(backwards).isNull().alias("_first"))
+    weight = F.pow(F.lit(1 - alpha), "_age") * F.when(F.col("_first"), 1.0).otherwise(alpha)
+    return aged.groupBy(*keys).agg(F.sum(F.col("_v") * weight).alias("Ewma"))
 
 
 def windowed_majority(rows: DataFrame, value: str, back: int, tie_is_null: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.operators import ranks
 from trackmill.operators.sequences import FRAME
 
 
@@ -17,10 +18,12 @@ def summary(confidences: Column, least: float) -> Column:
 
 def length_prior(rows: DataFrame, keys: list[str], value: str, least: int = 20) -> DataFrame:
     """(keys, N, Median, MAD, Valid): the median of a length and of the deviations from it."""
-    middle = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("N"), F.median(value).alias("Median"))
-    one = F.lit(1).alias("_one")
-    far = rows.where(F.col(value).isNotNull()).select("*", one).join(middle.select("*", one), [*keys, "_one"]).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("Median"))).alias("MAD"), F.first("N").alias("N"), F.first("Median").alias("Median"))
-    return far.select(*keys, "N", "Median", "MAD", (F.col("N") >= least).alias("Valid"))
+    known = rows.where(F.col(value).isNotNull())
+    middle = ranks.medians(known, keys, value)
+    both = known.join(middle, keys) if keys else known.crossJoin(F.broadcast(middle))  # one row without keys
+    far = ranks.medians(both.select(*keys, F.abs(F.col(value) - F.col("Median")).alias("_far")), keys, "_far").withColumnRenamed("Median", "MAD").drop("N")
+    found = middle.join(far, keys) if keys else middle.crossJoin(F.broadcast(far))
+    return found.select(*keys, "N", "Median", "MAD", (F.col("N") >= least).alias("Valid"))
 
 
 def edge_lengths(rows: DataFrame, key: str, points: str, edges: list[tuple[int, int]], least: float) -> DataFrame:

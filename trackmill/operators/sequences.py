@@ -209,21 +209,23 @@ def smooth_angle(rows: DataFrame, column: str = "Theta", half: int = 2) -> DataF
 
 
 def renumber(rows: DataFrame, keys: list[str], name: str = "NewID") -> DataFrame:
-    """Dense numbers from 0 in the order of ``keys``, of which the first is a number."""
+    """Dense numbers from 0 in the order of ``keys``."""
     ids = dense_ids(rows.select(*keys).distinct(), keys, name)
     on = [rows[k].eqNullSafe(ids[k]) for k in keys]
     return rows.join(ids, on).select(rows["*"], ids[name])
 
 
 def dense_ids(keys_of: DataFrame, keys: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Consecutive numbers of distinct keys in their order: rank inside a range of the first key plus the keys before it.
+    """Consecutive numbers of distinct keys in their order: rank inside a range of keys plus the keys before it.
 
-    The ranges are cut at quantiles that the driver reads (at most ``parts`` numbers), so a key's range
-    doesn't depend on where Spark happens to place it, and no task sorts all keys.
+    The ranges are cut at whole keys of a sample that is drawn by hash (at most 32 for each of ``parts``), so a key's range
+    doesn't depend on where Spark happens to place it, and no task sorts all keys even if the first one has few values.
     """
-    share = [i / parts for i in range(1, parts)]
-    cuts = keys_of.agg(F.percentile_approx(keys[0], share, 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(keys[0]))) if cuts else F.lit(0)
+    drawn = keys_of.select(*keys).orderBy(F.xxhash64(*keys)).limit(32 * parts).orderBy(*keys).collect()
+    kinds = [keys_of.schema[k].dataType for k in keys]
+    cuts = [F.struct(*[F.lit(row[k]).cast(t).alias(k) for k, t in zip(keys, kinds)]) for row in drawn[:: max(1, -(-len(drawn) // parts))]]
+    own = F.struct(*keys)
+    part = F.size(F.filter(F.array(*cuts), lambda c: c <= own)) if cuts else F.lit(0)
     placed = keys_of.withColumn("_part", part)
     local = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackmill.operators import curate, edits, metrics
+from trackmill.operators import curate, edits, metrics, ranks
 from trackmill.plans.common import r, registry, rounded
 from trackmill.sources import adapters as src
 from trackmill.sources.adapters import with_sql
@@ -74,8 +74,7 @@ def reversals(spark, sf):
 @query("rank_percentiles", with_sql("tracks", """+s AS (SELECT "TrajectoryID", list_sort(list("X")) AS v FROM tracks GROUP BY 1)
   SELECT "TrajectoryID", v[least(floor(len(v) * 0.95)::INT, len(v) - 1) + 1] AS "P95", v[least(floor(len(v) * 0.5)::INT, len(v) - 1) + 1] AS "P50" FROM s"""))
 def rank_percentiles(spark, sf):
-    lists = src.tracks(spark, sf).groupBy("TrajectoryID").agg(F.collect_list("X").alias("v"))
-    return lists.select("TrajectoryID", metrics.rank_percentile(F.col("v"), 0.95).alias("P95"), metrics.rank_percentile(F.col("v"), 0.5).alias("P50"))
+    return ranks.at_ranks(src.tracks(spark, sf), ["TrajectoryID"], "X", {"P95": ranks.share(0.95), "P50": ranks.share(0.5)}).drop("N")
 
 
 @query("exponential_mean", with_sql("tracks", f"""+o AS (SELECT "TrajectoryID", "X", row_number() OVER (PARTITION BY "TrajectoryID" ORDER BY "FrameID" DESC) - 1 AS k, count(*) OVER (PARTITION BY "TrajectoryID") AS n FROM tracks)
