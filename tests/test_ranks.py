@@ -68,3 +68,30 @@ def test_dense_numbers_by_whole_keys(spark):
     assert found == {x: i for i, x in enumerate(order)}
     placed = seq.dense_ids(frame, ["k", "s", "i"], "n")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [row_number" in placed and seq.dense_ids(frame.limit(0), ["k"], "n").collect() == []
+
+
+def test_temperature_equals_a_plain_search(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+
+    def loss(z, y, t):
+        a = z / t
+        top = a.max(1, keepdims=True)
+        return float((np.log(np.exp(a - top).sum(1)) + top[:, 0] - a[np.arange(len(y)), y]).sum())
+
+    def search(z, y):
+        lo, hi = math.log(0.1), math.log(10)
+        for _ in range(200):
+            a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
+            lo, hi = (lo, b) if loss(z, y, math.exp(a)) < loss(z, y, math.exp(b)) else (a, hi)
+        return math.exp((lo + hi) / 2)
+
+    for scale in (0.5, 1.0, 4.0, 60.0):
+        z = draw.normal(size=(400, 5)) * scale
+        y = np.array([draw.choice(5, p=np.exp(a) / np.exp(a).sum()) for a in z / scale * 1.5])
+        frame = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(z, y)] + [(None, 1), ([1.0, None], 0), ([1.0], 7), ([2.0], None)], "z array<double>, y int")
+        assert metrics.fit_temperature(frame, "z", "y") == pytest.approx(search(z, y), rel=1e-5)
+    sure = spark.createDataFrame([([9.0, 1.0], 0)], "z array<double>, y int")
+    assert metrics.fit_temperature(sure, "z", "y") == 0.1 and metrics.fit_temperature(spark.createDataFrame([([9.0, 1.0], 1)], "z array<double>, y int"), "z", "y") == 10.0
+    assert metrics.fit_temperature(sure.limit(0), "z", "y") == 1.0 and metrics.fit_temperature(spark.createDataFrame([([3.0, 3.0], 1)], "z array<double>, y int"), "z", "y") == 1.0

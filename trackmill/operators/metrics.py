@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators import graphs
 from trackmill.operators.sequences import FRAME, TRACK, in_order
 
 
@@ -115,3 +116,45 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     top = F.array_max(logits)
     powers = F.transform(logits, lambda x: F.exp((x - top) / temperature))
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+
+
+def fit_temperature(rows: DataFrame, logits: str, label: str, coolest: float = 0.1, hottest: float = 10.0, close: float = 1e-9) -> float:
+    """The temperature inside [coolest, hottest] by which softmax(logits / T) gives the labels the greatest likelihood.
+
+    The loss is convex in 1 / T, so Newton steps inside a bracket find it; each step is one aggregation of the
+    first and second derivative, one row to the driver. Rows with a null, or a label that is no place in its logits, are left
+    out; without rows it is 1. Logits that all say the same give no hold and 1 as well.
+    """
+    graphs.ensure_checkpoints(rows.sparkSession)
+    z = F.transform(logits, lambda x: x.cast("double"))
+    fine = F.col(label).isNotNull() & F.col(logits).isNotNull() & ~F.exists(logits, lambda x: x.isNull()) & (F.col(label) >= 0) & (F.col(label) < F.size(logits))
+    known = rows.where(fine).select(z.alias("z"), F.get(z, F.col(label).cast("int")).alias("y")).checkpoint()
+
+    def slopes(b: float) -> tuple[float, float]:
+        top = F.array_max("z")
+        w = known.select("y", "z", F.transform("z", lambda x: F.exp((x - top) * b)).alias("w"))
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        first = total(F.zip_with("w", "z", lambda p, x: p * x)) / total(F.col("w"))
+        second = total(F.zip_with("w", "z", lambda p, x: p * x * x)) / total(F.col("w"))
+        found = w.select((first - F.col("y")).alias("g"), (second - first * first).alias("h")).agg(F.sum("g"), F.sum("h")).first()
+        return found[0], found[1]
+
+    if known.isEmpty():
+        return 1.0
+    lo, hi = 1 / hottest, 1 / coolest
+    low, high = slopes(lo), slopes(hi)
+    if low[0] == high[0] == 0:
+        return 1.0
+    if low[0] >= 0:
+        return hottest
+    if high[0] <= 0:
+        return coolest
+    b = 1.0
+    while True:
+        g, h = slopes(b)
+        lo, hi = (b, hi) if g < 0 else (lo, b)
+        new = b - g / h if h > 0 else (lo + hi) / 2
+        new = new if lo < new < hi else (lo + hi) / 2
+        if g == 0 or abs(new - b) <= close * b:
+            return 1 / new
+        b = new

@@ -201,3 +201,10 @@ def farthest_first(spark, sf):
 @query("capped_per_group", "SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5")
 def capped_per_group(spark, sf):
     return curate.capped_per_group(src.table(spark, sf, "embeddings"), "label", ["vec_id"], 5).select("vec_id", "label")
+
+
+@query("temperature_fit")
+def temperature_fit(spark, sf):
+    """Embeddings' first values as logits of their labels."""
+    rows = src.table(spark, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("l"), (F.col("label") % 8).alias("y"))
+    return spark.createDataFrame([(metrics.fit_temperature(rows, "l", "y"),)], "Temperature double")
