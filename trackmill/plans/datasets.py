@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import datasets as ds
-from trackmill.operators import edits, graphs
-from trackmill.plans.common import registry
+from trackmill.operators import edits, graphs, pose_time
+from trackmill.plans.common import r, registry, rounded
 from trackmill.sources import adapters as src
 from trackmill.sources import caches
 
@@ -120,3 +120,25 @@ def standing_edits(spark, sf):
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     log = src.table(spark, sf, "events").select(F.col("user_id").alias("Session"), seq.alias("Seq"), F.when(undo, "undo").otherwise("delete").alias("Op"), F.col("event_id").alias("FragID"))
     return edits.standing(log).select("Session", "Seq")
+
+
+@query("clean_poses", src.with_sql("tracks", f"""+f AS (SELECT "TrajectoryID" AS t, "FrameID" AS f, 0 AS k, "X" AS x, "Y" AS y, CASE WHEN "DetectionID" % 5 = 0 THEN 0 ELSE 0.5 END AS c, "State" = 'active' AS judged FROM tracks
+  UNION ALL SELECT "TrajectoryID", "FrameID", 1, "Y", "Theta", CASE WHEN "DetectionID" % 4 < 2 THEN 0 ELSE 0.75 END, "State" = 'active' FROM tracks),
+o AS (SELECT *, coalesce(c > 0 AND judged AND count(x) OVER n >= 3 AND (abs(x - avg(x) OVER n) / greatest(coalesce(stddev_samp(x) OVER n, 0), 1e-6) > 1.7131 OR abs(y - avg(y) OVER n) / greatest(coalesce(stddev_samp(y) OVER n, 0), 1e-6) > 1.7131), false) AS odd FROM f
+  WINDOW n AS (PARTITION BY t, k, c > 0 AND judged ORDER BY f ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)),
+s AS (SELECT *, CASE WHEN odd THEN 0 ELSE c END AS d, row_number() OVER (PARTITION BY t, k ORDER BY f) AS pos FROM o),
+h AS (SELECT *, CASE WHEN d > 0 THEN {{'pos': pos, 'x': x, 'y': y}} END AS here FROM s),
+w AS (SELECT *, last_value(here IGNORE NULLS) OVER (PARTITION BY t, k ORDER BY f ROWS UNBOUNDED PRECEDING) AS a, first_value(here IGNORE NULLS) OVER (PARTITION BY t, k ORDER BY f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM h),
+g AS (SELECT *, coalesce(d = 0 AND b.pos - a.pos - 1 <= 3, false) AS fill FROM w),
+z AS (SELECT t, f, odd, fill, CASE WHEN fill THEN a.x + (pos - a.pos) / (b.pos - a.pos)::DOUBLE * (b.x - a.x) ELSE x END AS x, CASE WHEN fill THEN a.y + (pos - a.pos) / (b.pos - a.pos)::DOUBLE * (b.y - a.y) ELSE y END AS y, CASE WHEN fill THEN 0.3 ELSE d END AS c FROM g)
+SELECT t AS "TrajectoryID", f AS "FrameID", count(CASE WHEN odd THEN 1 END) AS "Suppressed", count(CASE WHEN fill THEN 1 END) AS "Filled", {r("avg(c::DOUBLE)", "MeanConf")}, {r("sum(x)", "SumX", 4)}, {r("sum(y)", "SumY", 4)} FROM z GROUP BY 1, 2"""))
+def clean_poses(spark, sf):
+    """Two keypoints a row, one in five and one in two of them unseen."""
+    point = lambda x, y, c: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), c.alias("conf"))
+    d = F.col("DetectionID")
+    points = F.array(point("X", "Y", F.when(d % 5 == 0, 0.0).otherwise(0.5)), point("Y", "Theta", F.when(d % 4 < 2, 0.0).otherwise(0.75)))
+    rows = src.tracks(spark, sf).select("TrajectoryID", "FrameID", points.alias("Keypoints"), F.when(F.col("State") == "active", "good").otherwise("bad").alias("PoseState"))
+    found = pose_time.clean_poses(rows, 3, 1.7131)
+    total = lambda c: F.aggregate(F.transform("Keypoints", lambda p: p[c]), F.lit(0.0), lambda a, x: a + x).alias(f"Sum{c.upper()}")
+    sums = found.select("TrajectoryID", "FrameID", "Suppressed", "Filled", "MeanConf", total("x"), total("y"))
+    return sums.select("TrajectoryID", "FrameID", "Suppressed", "Filled", rounded("MeanConf"), rounded("SumX", 4), rounded("SumY", 4))
