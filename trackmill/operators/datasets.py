@@ -24,30 +24,38 @@ SPLITS = ("train", "val", "test")
 _NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)$"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: as a lambda's variable it isn't inlined at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pose_box(keypoints: Column, width: Column, height: Column, pad: float) -> Column:
     """Box (x1, y1, x2, y2) in pixels around the visible keypoints (x, y, v), padded inside the image.
 
     The pad is a share of the longer side. A side of under two pixels is widened about its middle. Null
     without visible keypoints, with one that isn't finite, or if a side is still at most a pixel.
     """
-    seen = F.filter(keypoints, lambda k: k["v"] > 0)
-    finite = F.forall(seen, lambda k: (F.abs(k["x"]) < float("inf")) & (F.abs(k["y"]) < float("inf")))
-
-    def side(name: str, end: Column) -> tuple[Column, Column]:
-        values = F.transform(seen, lambda k: k[name].cast("double"))
-        return F.array_min(values), F.array_max(values), end.cast("double") - 1
+    def padded(lo: Column, hi: Column, reach: Column, size: Column) -> Column:
+        end = size.cast("double") - 1
+        wide = F.struct(F.greatest(F.lit(0.0), lo - reach).alias("lo"), F.least(end, hi + reach).alias("hi"))
+        half = LEAST_BOX_PIXELS / 2
+        middle = lambda s: (s["lo"] + s["hi"]) / 2
+        widened = lambda s: F.struct(F.greatest(F.lit(0.0), middle(s) - half).alias("lo"), F.least(end, middle(s) + half).alias("hi"))
+        return _let(wide, lambda s: F.when(s["hi"] - s["lo"] < LEAST_BOX_PIXELS, widened(s)).otherwise(s))
 
-    (x1, x2, x_end), (y1, y2, y_end) = side("x", width), side("y", height)
-    reach = F.greatest(x2 - x1, y2 - y1, F.lit(1.0)) * pad
+    def box(e: Column) -> Column:
+        reach = F.greatest(e["x2"] - e["x1"], e["y2"] - e["y1"], F.lit(1.0)) * pad
+        sides = F.struct(padded(e["x1"], e["x2"], reach, width).alias("x"), padded(e["y1"], e["y2"], reach, height).alias("y"))
+        made = lambda s: F.struct(s["x"]["lo"].alias("x1"), s["y"]["lo"].alias("y1"), s["x"]["hi"].alias("x2"), s["y"]["hi"].alias("y2"))
+        wide = lambda s: (s["x"]["hi"] > s["x"]["lo"] + 1) & (s["y"]["hi"] > s["y"]["lo"] + 1)
+        return F.when(e["fine"], _let(sides, lambda s: F.when(wide(s), made(s))))
 
-    def padded(lo: Column, hi: Column, end: Column) -> tuple[Column, Column]:
-        lo, hi = F.greatest(F.lit(0.0), lo - reach), F.least(end, hi + reach)
-        middle, narrow = (lo + hi) / 2, hi - lo < LEAST_BOX_PIXELS
-        half = LEAST_BOX_PIXELS / 2
-        return F.when(narrow, F.greatest(F.lit(0.0), middle - half)).otherwise(lo), F.when(narrow, F.least(end, middle + half)).otherwise(hi)
+    def ends(seen: Column) -> Column:
+        finite = F.forall(seen, lambda k: (F.abs(k["x"]) < float("inf")) & (F.abs(k["y"]) < float("inf")))
+        of = lambda f, c: f(F.transform(seen, lambda k: k[c].cast("double")))
+        return F.struct(((F.size(seen) > 0) & finite).alias("fine"), *[of(f, c).alias(f"{c}{i}") for c in ("x", "y") for f, i in ((F.array_min, 1), (F.array_max, 2))])
 
-    (x1, x2), (y1, y2) = padded(x1, x2, x_end), padded(y1, y2, y_end)
-    return F.when((F.size(seen) > 0) & finite & (x2 > x1 + 1) & (y2 > y1 + 1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+    return _let(F.filter(keypoints, lambda k: k["v"] > 0), lambda seen: _let(ends(seen), box))
 
 
 def pose_line(class_id: Column, keypoints: Column, width: Column, height: Column, box: Column | None = None, pad: float = 0.03) -> Column:
@@ -57,14 +65,18 @@ def pose_line(class_id: Column, keypoints: Column, width: Column, height: Column
     ``box`` in pixels it is that of ``pose_box``; no box, or one that isn't finite: null.
     """
     own = pose_box(keypoints, width, height, pad)
-    box = own if box is None else F.coalesce(box, own)
+    whole = own if box is None else F.coalesce(box, own)
     share = lambda v, size: F.when(F.abs(v) < float("inf"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.greatest(size, F.lit(1))))).otherwise(0.0)
     text = lambda v: F.format_string("%.6f", v)
-    sides = [(box[a] + box[b], box[b] - box[a], size) for a, b, size in (("x1", "x2", width), ("y1", "y2", height))]
-    finite = F.forall(F.array(*[box[c] for c in ("x1", "y1", "x2", "y2")]), lambda v: F.abs(v) < float("inf"))
-    head = [class_id.cast("int").cast("string"), *[text(share(both / 2, size)) for both, _, size in sides], *[text(F.greatest(share(d, size), F.lit(LEAST_BOX))) for _, d, size in sides]]
-    points = F.transform(keypoints, lambda k: F.concat_ws(" ", text(share(k["x"].cast("double"), width)), text(share(k["y"].cast("double"), height)), k["v"].cast("int").cast("string")))
-    return F.when(finite, F.concat_ws(" ", *head, F.array_join(points, " ")))
+    points = F.array_join(F.transform(keypoints, lambda k: F.concat_ws(" ", text(share(k["x"].cast("double"), width)), text(share(k["y"].cast("double"), height)), k["v"].cast("int").cast("string"))), " ")
+
+    def line(b: Column) -> Column:
+        sides = [(b[one] + b[two], b[two] - b[one], size) for one, two, size in (("x1", "x2", width), ("y1", "y2", height))]
+        finite = F.forall(F.array(*[b[c] for c in ("x1", "y1", "x2", "y2")]), lambda v: F.abs(v) < float("inf"))
+        head = [class_id.cast("int").cast("string"), *[text(share(both / 2, size)) for both, _, size in sides], *[text(F.greatest(share(d, size), F.lit(LEAST_BOX))) for _, d, size in sides]]
+        return F.when(finite, F.concat_ws(" ", *head, points))
+
+    return _let(whole, line)
 
 
 def pose_issues(label: Column, keypoints: int) -> Column:
@@ -74,7 +86,12 @@ def pose_issues(label: Column, keypoints: int) -> Column:
     keypoint by number; value is the field's text. A text without enough fields, or whose class or box can't be
     read, has that issue only. Further fields are not looked at. A null text is empty.
     """
-    part = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " ")), " "), lambda x: x != "")
+    split = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " ")), " "), lambda x: x != "")
+    return _let(split, lambda part: _issues(part, keypoints))
+
+
+def _issues(part: Column, keypoints: int) -> Column:
+    """The issues of a label's fields."""
     number = lambda x: F.when(x.rlike(_NUMBER), F.regexp_replace(F.lower(x), "^([+-]?)inf(inity)?$", "$1Infinity").cast("double"))
     get = lambda i: F.get(part, i if isinstance(i, Column) else F.lit(i))
     issue = lambda rule, at, value, bad: F.when(bad, F.struct(F.lit(rule).alias("rule"), (at if isinstance(at, Column) else F.lit(at)).alias("at"), value.alias("value")))
