@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import angles, pose
 from trackmill.operators import catalogue as cat
-from trackmill.operators import curate, pairs, priors, review
+from trackmill.operators import curate, hierarchy, pairs, priors, review
 from trackmill.operators import sequences as seq
 from trackmill.plans.common import r, registry, rounded
 from trackmill.plans.identity import _POINTS, _points
@@ -320,3 +320,18 @@ def greedy_assignment(spark, sf):
 @query("cosine_filter")
 def cosine_filter(spark, sf):
     return curate.cosine_filter(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.40137)
+
+
+@query("density_clusters")
+def density_clusters(spark, sf):
+    return hierarchy.density_clusters(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 40).select("id", "Cluster", "Noise", rounded("Distance"))
+
+
+@query("cosine_clusters")
+def cosine_clusters(spark, sf):
+    return hierarchy.cosine_clusters(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 12)
+
+
+@query("farthest_cosine")
+def farthest_cosine(spark, sf):
+    return hierarchy.farthest_centres(src.table(spark, sf, "embeddings"), "vec_id", "embedding", 16)
