@@ -373,3 +373,33 @@ def dataset_issues(spark: SparkSession, root: str, keypoints: int, least: dict[s
     asked = spark.createDataFrame(list(least.items()), "split string, least int")
     few = asked.join(items.groupBy("split").agg(F.count("*").alias("n")), "split", "left").where("coalesce(n, 0) < least").select("split", null, F.lit("split"), F.lit("images"), F.coalesce("n", F.lit(0)).cast("string"))
     return missing.unionAll(shared).unionAll(wrong).unionAll(few)
+
+
+def crop_box(corners: Column, width: Column, height: Column, pad: float = 0.15, least: int = 64, square: bool = True) -> Column:
+    """Whole pixels (x1, y1, x2, y2) of a crop around corners (x, y in shares of the image), padded on each side by a share of its size.
+
+    Sides are at least ``least`` pixels and, if ``square``, as long as the longer one, then cut at the image's edge. Null if nothing is left
+    or a corner is null.
+    """
+    def ends(name: str, size: Column) -> Column:
+        pixels = F.transform(corners, lambda p: p[name].cast("double") * size)
+        low = F.array_min(pixels)
+        wide = F.greatest(F.lit(1.0), F.array_max(pixels) - low)
+        return F.struct((low + wide / 2).alias("middle"), F.greatest(F.lit(float(least)), wide * (1 + 2 * max(0.0, pad))).alias("wide"))
+
+    def cut(e: Column, wide: Column, size: Column) -> tuple[Column, Column]:
+        return F.greatest(F.lit(0), F.floor(e["middle"] - wide / 2)).cast("int"), F.least(size, F.ceil(e["middle"] + wide / 2)).cast("int")
+
+    def box(s: Column) -> Column:
+        longer = F.greatest(s["x"]["wide"], s["y"]["wide"])
+        (x1, x2), (y1, y2) = [cut(s[c], longer if square else s[c]["wide"], size) for c, size in (("x", width), ("y", height))]
+        return _let(F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")), lambda b: F.when((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), b))
+
+    known = (F.size(corners) > 0) & F.forall(corners, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return F.when(known, _let(F.struct(ends("x", width).alias("x"), ends("y", height).alias("y")), box))
+
+
+def crop_corners(corners: Column, width: Column, height: Column, box: Column) -> Column:
+    """The corners in shares of the crop, held inside [0, 1]; null without a box."""
+    share = lambda p, c, size: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p[c].cast("double") * size - box[f"{c}1"]) / (box[f"{c}2"] - box[f"{c}1"]))).alias(c)
+    return F.when(box.isNotNull(), F.transform(corners, lambda p: F.struct(share(p, "x", width), share(p, "y", height))))

@@ -142,3 +142,20 @@ def clean_poses(spark, sf):
     total = lambda c: F.aggregate(F.transform("Keypoints", lambda p: p[c]), F.lit(0.0), lambda a, x: a + x).alias(f"Sum{c.upper()}")
     sums = found.select("TrajectoryID", "FrameID", "Suppressed", "Filled", "MeanConf", total("x"), total("y"))
     return sums.select("TrajectoryID", "FrameID", "Suppressed", "Filled", rounded("MeanConf"), rounded("SumX", 4), rounded("SumY", 4))
+
+
+_PIXELS = "list_transform(points, lambda q: q.{c} / 1000.0::DOUBLE * 1000)"
+_END = "list_min({p}) AS {c}l, greatest(1.0::DOUBLE, list_max({p}) - list_min({p})) AS {c}w"
+
+
+@query("crop_corners", f"""WITH {_POINTS}, e AS (SELECT *, {", ".join(_END.format(c=c, p=_PIXELS.format(c=c)) for c in "xy")} FROM p),
+s AS (SELECT *, greatest(64.0::DOUBLE, xw * 1.3::DOUBLE, yw * 1.3::DOUBLE) AS side FROM e),
+b AS (SELECT *, greatest(0, floor(xl + xw / 2 - side / 2))::INT AS x1, least(1000, ceil(xl + xw / 2 + side / 2))::INT AS x2, greatest(0, floor(yl + yw / 2 - side / 2))::INT AS y1, least(1000, ceil(yl + yw / 2 + side / 2))::INT AS y2 FROM s)
+SELECT event_id AS "DetectionID", x1 AS "X1", y1 AS "Y1", x2 AS "X2", y2 AS "Y2", {r("greatest(0, least(1, (points[1].x / 1000.0::DOUBLE * 1000 - x1) / (x2 - x1)))", "CornerX")}, {r("greatest(0, least(1, (points[1].y / 1000.0::DOUBLE * 1000 - y1) / (y2 - y1)))", "CornerY")} FROM b WHERE x2 > x1 AND y2 > y1""")
+def crop_corners(spark, sf):
+    share = F.transform("points", lambda p: F.struct((p["x"] / WIDTH).alias("x"), (p["y"] / HEIGHT).alias("y")))
+    rows = _points(spark, sf).select(F.col("event_id").alias("DetectionID"), share.alias("corners"))
+    rows = rows.withColumn("box", ds.crop_box(F.col("corners"), F.lit(WIDTH), F.lit(HEIGHT))).where("box is not null")
+    first = F.get(ds.crop_corners(F.col("corners"), F.lit(WIDTH), F.lit(HEIGHT), F.col("box")), F.lit(0))
+    found = rows.select("DetectionID", *[F.col(f"box.{c}").alias(c.upper()) for c in ("x1", "y1", "x2", "y2")], first["x"].alias("CornerX"), first["y"].alias("CornerY"))
+    return found.select("DetectionID", "X1", "Y1", "X2", "Y2", rounded("CornerX"), rounded("CornerY"))
