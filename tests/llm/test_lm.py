@@ -1,8 +1,10 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -112,6 +114,45 @@ def test_the_model_is_a_distribution():
     assert (inside <= 1 + 1e-9).all()
 
 
+def test_feature_slots_follow_the_training_tokens(docs, monkeypatch):
+    """A model of more tokens has more slots, and all of them are reached."""
+    kept = []
+    monkeypatch.setattr(lm, "FEATURES", 64)
+    monkeypatch.setattr(lm, "train", lambda *args, real=lm.train: kept.append(real(*args)) or kept[-1])
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        assert lm.score(part).count() == part.count()
+    few, all_of = kept
+    assert 64 < len(few.weights) < len(all_of.weights)
+    for model in kept:
+        assert len(model.weights) == pytest.approx(lm.GROWTH * model.total**0.5, abs=lm.BLOCK)
+        assert np.abs(model.weights[1:]).max(axis=1).astype(bool).mean() > 0.9
+
+
+def test_sums_of_a_part_equal_plain_sums():
+    """Observed and expected counts of each feature and class, block by block, only of blocks that were met."""
+    texts = ["a b c a b", "a a d", None]
+    h, s, n = lm.tokens([t and t.encode() for t in texts])
+    found, at, counts = np.unique(h, return_index=True, return_counts=True)
+    order = np.argsort(-counts)
+    tokens_in, words_in = (np.bincount(s[at], w, lm.SPELLED) for w in (counts, None))
+    model = lm.Model(int(counts.sum()), len(found), found[order], counts[order].astype(float), s[at][order].astype(int), tokens_in, words_in, 4096)
+    f, c = model.features(h, n), model.classes(h, s)
+    observed, expected = np.zeros((4096, lm.CLASSES)), np.zeros((4096, lm.CLASSES))
+    for token, share in enumerate(model.class_shares(f)):
+        for slot in (0, *f[token]):
+            observed[slot, c[token]] += 1
+            expected[slot] += share
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    (sums,) = lm._gradient(iter([batch]), SimpleNamespace(value=model))
+    assert sums.num_rows < 4096 // lm.BLOCK
+    for block, *parts in zip(*sums.to_pydict().values(), strict=True):
+        for part, want in zip(parts, (observed, expected), strict=True):
+            rows = slice(block * lm.BLOCK, (block + 1) * lm.BLOCK)
+            assert np.allclose(np.frombuffer(part, np.float32).reshape(-1, lm.CLASSES), want[rows], atol=1e-5)
+            want[rows] = 0
+    assert not observed.any() and not expected.any()
+
+
 def test_odd_rows(odd, empty):
     found = lm.score(odd).collect()
     assert len(found) == odd.count()

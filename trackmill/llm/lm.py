@@ -8,9 +8,10 @@ frequent words, each alone, and the other words by the last two bytes of their s
 
 Counts come from every training document. The class weights are trained by distributed gradient
 updates: in each round every partition sums observed and expected feature counts over its part of
-that round's documents, the sums are added block by block while they stream past, and the driver
-takes a step along their difference, scaled by the expected count of each weight. Every training
-document is in one round.
+that round's documents, the sums are added block by block while they stream past, and the weights
+move along their difference, scaled by the expected count of each weight. Every training
+document is in one round. The feature slots follow the square root of the training tokens; a partition sends
+only the blocks of slots that it met, and there are no more partitions than cores.
 
 Scoring needs the count of each word of each text. Frequent words, a table of bounded size, are
 looked up in place. The others meet their counts in buckets by hash, as packed arrays with one
@@ -19,7 +20,7 @@ entry for each pair of a document and a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -36,14 +37,16 @@ END = b"\n"
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 SINGLES, SPELLED = 31, 33
 CLASSES = SINGLES + SPELLED
-#: Hashed features; feature 0 is the bias.
-FEATURES = 1 << 13
+#: Hashed features, at least; feature 0 is the bias. A model has GROWTH for each root of its training tokens.
+FEATURES, GROWTH = 1 << 15, 8
 ROUNDS = 3
 #: Words that are looked up in place, at most.
 FREQUENT = 1 << 16
 BUCKET_PAIRS = 2_000_000
 #: Features in a block of sums; tokens that are scored, and whose shares are added up, at once.
-BLOCK, CHUNK, SUMMED = 16, 1 << 13, 1 << 15
+BLOCK, CHUNK = 16, 1 << 13
+#: Scores below this can't overflow a float's exponential.
+TAME = 60.0
 #: Weight of a step, and what is added to an expected count.
 RATE, SMOOTH = 0.6, 2.0
 
@@ -71,8 +74,8 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """What scoring needs besides the counts of rare words."""
 
-    def __init__(self, total: int, distinct: int, frequent: np.ndarray, counts: np.ndarray, spelled: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray) -> None:
-        """frequent: hashes by falling count. class_tokens and class_words: of the spelling classes over all words."""
+    def __init__(self, total: int, distinct: int, frequent: np.ndarray, counts: np.ndarray, spelled: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, slots: int | None = None) -> None:
+        """frequent: hashes by falling count. class_tokens and class_words: of the spelling classes over all words. slots: FEATURES unless given."""
         self.total, self.distinct = total, distinct
         order = np.argsort(frequent)
         self.known, self.known_counts = frequent[order], counts[order]
@@ -85,8 +88,15 @@ class Model:
         np.subtract.at(tokens_in, SINGLES + spelled[:n], counts[:n])
         np.subtract.at(words_in, SINGLES + spelled[:n], 1)
         self.inside = np.log10(tokens_in + 0.5 * (words_in + 1))
-        self.weights = np.zeros((FEATURES, CLASSES), np.float32)
+        self.weights = np.zeros((slots or FEATURES, CLASSES), np.float32)
         self.weights[0] = np.log((tokens_in + 0.5) / (tokens_in + 0.5).sum())
+        self.tame = self._is_tame()
+
+    def _is_tame(self) -> bool:
+        return float(np.abs(self.weights[0]).max() + 3 * np.abs(self.weights[1:]).max(initial=0)) < TAME
+
+    def features(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return features(hashes, sizes, len(self.weights))
 
     def classes(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         out = spelled.astype(np.int64) + SINGLES
@@ -105,19 +115,21 @@ class Model:
         return np.where(hit, np.log10(self.known_counts[at] + 0.5), 0.0), hit
 
     def logits(self, features: np.ndarray) -> np.ndarray:
-        """Scores of all classes for each token, less the greatest."""
+        """Scores of all classes for each token, less the greatest where they might overflow."""
         out = self.weights.take(features[:, 0], axis=0)
+        more = np.empty_like(out)
         for column in features.T[1:]:
-            out += self.weights.take(column, axis=0)
+            out += self.weights.take(column, axis=0, out=more, mode="clip")
         out += self.weights[0]
-        out -= out.max(axis=1, keepdims=True)
+        if not self.tame:
+            out -= out.max(axis=1, keepdims=True)
         return out
 
     def class_shares(self, features: np.ndarray) -> np.ndarray:
         """Probabilities of all classes for each token."""
         p = self.logits(features)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= (p @ _ONES)[:, None]
         return p
 
     def class_logs(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -126,14 +138,32 @@ class Model:
         for at in range(0, len(classes), CHUNK):
             scores = self.logits(features[at : at + CHUNK])
             own = scores[np.arange(len(scores)), classes[at : at + CHUNK]].astype(np.float64)
-            out[at : at + CHUNK] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+            out[at : at + CHUNK] = own - np.log(np.exp(scores, out=scores) @ _ONES)
         return out
 
-    def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
-        self.weights += RATE * np.clip((observed - expected) / (expected + SMOOTH), -1, 3).astype(np.float32)
+    def step(self, changes: Iterable[tuple[int, np.ndarray]]) -> None:
+        """Moves weights: of each change those of the features from its first on."""
+        for first, change in changes:
+            self.weights[first : first + len(change)] += change
+        self.tame = self._is_tame()
+
+
+_ONES = np.ones(CLASSES, np.float32)
+_PAIRS = np.arange(CLASSES // 2)
+
+
+def slots_for(total: int) -> int:
+    """Features of a model of so many training tokens: whole blocks, FEATURES at least."""
+    return max(FEATURES, int(GROWTH * total**0.5) // BLOCK * BLOCK)
+
+
+def _add_rows(sums: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of rows to the row of sums that at names. Two neighbours go as one complex number, so that half as many are added."""
+    where = (at[:, None].astype(np.int64) * len(_PAIRS) + _PAIRS).ravel()
+    np.add.at(sums.view(np.complex64).ravel(), where, rows.view(np.complex64).ravel())
 
 
-def features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def features(hashes: np.ndarray, sizes: np.ndarray, slots: int | None = None) -> np.ndarray:
     """Feature numbers of each token: word before, pair before, skip. Texts begin with END behind them."""
     n = len(hashes)
     starts = np.cumsum(sizes) - sizes
@@ -142,44 +172,46 @@ def features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     one[starts] = END_HASH
     two[starts] = END_HASH
     two[(starts + 1)[sizes > 1]] = END_HASH
-    rest = np.uint64(FEATURES - 1)
+    rest = np.uint64((slots or FEATURES) - 1)
     return np.stack([1 + mix(one) % rest, 1 + mix(one * np.uint64(3) + mix(two)) % rest, 1 + mix(two ^ np.uint64(0x5BD1E995)) % rest], axis=1).astype(np.int32)
 
 
 def _gradient(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = model.value
-    observed, by_class = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((CLASSES, FEATURES))
-    some = False
+    slots = len(own.weights)
+    observed, expected = np.zeros((slots, CLASSES), np.int32), np.zeros((slots, CLASSES))
+    met, some = np.zeros((slots, CLASSES), np.float32), False
     for batch in batches(rows, 4 << 20):
         hashes, spelled, sizes = tokens(text_bytes(batch.column(0)))
-        classes, found = own.classes(hashes, spelled), features(hashes, sizes)
+        classes, found = own.classes(hashes, spelled), own.features(hashes, sizes)
         some |= len(hashes) > 0
         for column in found.T:
-            observed += np.bincount(column * CLASSES + classes, minlength=FEATURES * CLASSES).reshape(FEATURES, CLASSES)
-        observed[0] += np.bincount(classes, minlength=CLASSES)
-        for at in range(0, len(hashes), SUMMED):
-            f = found[at : at + SUMMED]
-            shares = np.concatenate([own.class_shares(f[i : i + CHUNK]) for i in range(0, len(f), CHUNK)]).T.astype(np.float64)
-            by_class[:, 0] += shares.sum(axis=1)
+            np.add.at(observed.ravel(), column * CLASSES + classes, np.int32(1))
+        observed[0] += np.bincount(classes, minlength=CLASSES).astype(np.int32)
+        for at in range(0, len(hashes), CHUNK):
+            f = found[at : at + CHUNK]
+            shares = own.class_shares(f)
+            expected[0] += shares.sum(axis=0, dtype=np.float64)
             for column in f.T:
-                for c in range(CLASSES):
-                    by_class[c] += np.bincount(column, shares[c], FEATURES)
-    expected = by_class.T.astype(np.float32)
+                _add_rows(met, column, shares)
+        expected += met
+        met[:] = 0
     if some:
-        blocks = list(range(FEATURES // BLOCK))
-        kinds = [pa.array([part[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary()) for part in (observed, expected)]
+        blocks = [b for b in range(slots // BLOCK) if expected[b * BLOCK : (b + 1) * BLOCK].any()]
+        kinds = [pa.array([part[b * BLOCK : (b + 1) * BLOCK].astype(np.float32).tobytes() for b in blocks], pa.binary()) for part in (observed, expected)]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *kinds], ["block", "observed", "expected"])
 
 
 def _add_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of one partition, one running sum for each block."""
+    """Changes of the weights of the blocks of one partition, from one running sum for each block."""
     sums: dict[int, np.ndarray] = {}
     for batch in rows:
         for block, *parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             both = np.stack([np.frombuffer(p, np.float32) for p in parts]).astype(np.float64)
             sums[block] = sums[block] + both if block in sums else both
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([s[i].astype(np.float32).tobytes() for s in sums.values()], pa.binary()) for i in range(2))], ["block", "observed", "expected"])
+        changes = [RATE * np.clip((observed - expected) / (expected + SMOOTH), -1, 3) for observed, expected in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.astype(np.float32).tobytes() for c in changes], pa.binary())], ["block", "change"])
 
 
 _BLOCKS = "block int, observed binary, expected binary"
@@ -215,17 +247,15 @@ def train(rows: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     for r in by:
         class_tokens[r.spelled], class_words[r.spelled] = r.c, r.n
     top = counts.where(F.col("c") >= frequent_from(counts)).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    model = Model(int(class_tokens.sum()), int(class_words.sum()), top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.float64), top["spelled"].to_numpy(np.int64), class_tokens, class_words)
+    total = int(class_tokens.sum())
+    model = Model(total, int(class_words.sum()), top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.float64), top["spelled"].to_numpy(np.int64), class_tokens, class_words, slots_for(total))
     turn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("round")), F.lit(rounds))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i in range(rounds):
         now = spark.sparkContext.broadcast(model)
-        sums = rows.where(turn == i).select("text").mapInArrow(partial(_gradient, model=now), _BLOCKS).repartition(parts, "block").mapInArrow(_add_blocks, _BLOCKS).collect()
-        observed, expected = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, CLASSES), np.float32)
-        for r in sums:
-            observed[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.observed, np.float32).reshape(BLOCK, CLASSES)
-            expected[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.expected, np.float32).reshape(BLOCK, CLASSES)
-        model.step(observed, expected)
+        own = rows.where(turn == i).select("text").coalesce(spark.sparkContext.defaultParallelism)
+        changes = own.mapInArrow(partial(_gradient, model=now), _BLOCKS).repartition(parts, "block").mapInArrow(_add_blocks, "block int, change binary")
+        model.step((r.block * BLOCK, np.frombuffer(r.change, np.float32).reshape(-1, CLASSES)) for r in changes.collect())
         now.destroy()
         spark.sparkContext._jvm.System.gc()
     return model
@@ -244,7 +274,7 @@ def _scan(rows: Iterator[pa.RecordBatch], model, buckets: int) -> Iterator[pa.Re
         if not len(sizes):
             continue
         starts = np.cumsum(sizes) - sizes
-        classes, found = own.classes(hashes, spelled), features(hashes, sizes)
+        classes, found = own.classes(hashes, spelled), own.features(hashes, sizes)
         context = own.class_logs(found, classes) / np.log(10) - own.inside[classes]
         logs, hit = own.log_counts(hashes)
         keys = key + np.arange(len(sizes))
