@@ -21,7 +21,7 @@ of every intersection. It is computed only where it can matter:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -299,8 +299,8 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= LISTED else ids
 
 
-def _clusters(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, cluster) of those rows(node, n, held) that can link with another; rows of different clusters can't."""
+def _clusters(rows: DataFrame, shingle: int, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(node, cluster) of those rows(node, n, held) that can link with another; rows of different clusters can't. Pairs of more(a, b) share a cluster."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES)
@@ -312,7 +312,7 @@ def _clusters(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     buckets = max(parts, (first.agg(F.sum(F.size("first"))).first()[0] or 0) // BUCKET_ENTRIES)
     dealt = first.mapInArrow(partial(_deal, buckets=buckets, percent=percent), _RUNS)
     met = settle(dealt.groupBy("bucket").applyInArrow(lambda group: _meet(group, percent), "a long, b long"), "join-met", free=False)
-    found = connected_components(met)
+    found = connected_components(met if more is None else met.unionAll(more))
     for done in (first, met):
         discard(spark, done)
     return settle(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster"), "join-clusters", free=False)
@@ -355,12 +355,13 @@ def _verified(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return links.unionAll(more)
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keys, nodes, links) of docs(doc_id long, text string), all settled.
 
     keys holds doc_id, key and n (the set's size) of each row; nodes the distinct sets that aren't empty: node,
     key, n, least (doc_id), copies; links pairs (a, b) of nodes with ``100 * intersection >= percent * union``
-    that connect all that such pairs do.
+    that connect all that such pairs do. ``more`` takes rows(node, n, held), a
+    row for each such set and its packed text, and gives pairs (a, b) of nodes that are to be multiplied too.
     """
     spark = docs.sparkSession
     numbered = docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text")
@@ -370,7 +371,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     nodes = settle(read.where("n > 0").groupBy("key").agg(F.min(held).alias("node"), F.count(held).alias("times"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "join-nodes")
     later = read.where("held is not null").select("node", "key").join(_listed(nodes.where("times > 1").select("key", F.col("node").alias("first"))), "key").where("node != first").select("node")
     rows = read.where("held is not null").join(_listed(settle(later, "join-later", free=False)), "node", "left_anti").select("node", "n", "held")
-    found = _gather(rows, _clusters(rows, shingle, percent))
+    found = _gather(rows, _clusters(rows, shingle, percent, None if more is None else more(rows)))
     links = _verified(found, shingle, percent)
     discard(spark, found)
     return keys, nodes, links
