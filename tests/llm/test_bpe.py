@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -28,6 +30,29 @@ def test_odd_texts(spark, odd, empty, library):
         assert own.encode(text)[0].tolist() == library.encode_ordinary(text)
 
 
+def test_words_folded_together_equal_the_library(docs, library, monkeypatch):
+    """Words of all lengths, known tokens, copies and odd characters in one call, in folds of many and of few words."""
+    random.seed(5)
+    letters = "abcdefghijklmnopqrstuvwxyzé中😀\x00\x1c   019_"
+    words = ["", "x", " the", "ab" * 40, "é" * 64, "z" * 129] + ["".join(random.choices(letters, k=random.choice([2, 3, 5, 9, 17, 40, 63, 90, 200]))) for _ in range(3000)]
+    words += [w for r in docs.limit(30).collect() for w in bpe.splitter(public_tokenizers.PATTERN).findall(r.text)]
+    raw, ranks = [w.encode() for w in words], bpe.read_ranks(PATH)
+    want = [library._encode_single_piece(w) if w else [] for w in raw]
+    assert [list(memoryview(x).cast("i")) for x in bpe.Merges(ranks).fold(raw)] == want
+    monkeypatch.setattr(bpe, "FOLDED", 300)
+    assert [list(memoryview(x).cast("i")) for x in bpe.Merges(ranks).fold(raw[:300])] == want[:300]
+
+
+def test_a_full_table_changes_nothing(docs, library, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(bpe, "KNOWN_LENGTH", 3)
+    own = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    texts = [r.text for r in docs.limit(20).collect()]
+    for part in (texts[:10], texts[5:], texts):
+        assert [list(memoryview(ids).cast("i")) for ids in own.encode_all(part)] == library.encode_ordinary_batch(part)
+        assert len(own) <= 50
+
+
 def test_fold_by_higher_order_functions(spark, docs, library):
     words = sorted({w for r in docs.limit(20).collect() for w in bpe.splitter(public_tokenizers.PATTERN).findall(r.text)})[:150] + ["", "中文😀", "x"]
     found = bpe.encode_words(spark.createDataFrame([(w,) for w in words] + [(None,), ("x",)], "word string"), library._mergeable_ranks).collect()
