@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.common import batches
 
-#: Words that a worker keeps encoded, and the longest word that is kept.
-KNOWN_WORDS, KNOWN_LENGTH = 250_000, 64
+#: Words that a worker keeps encoded, how many of them from one task to the next, and the longest word that is kept.
+KNOWN_WORDS, LEFT_WORDS, KNOWN_LENGTH = 250_000, 50_000, 64
+#: Bytes of text that are encoded together, about.
+SLICE_BYTES = 1 << 20
 #: Longer words are merged with a heap.
 SHORT = 128
 #: Symbols of the words that are folded together, about.
@@ -243,7 +245,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def _encode(rows: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path, pattern)
-    for batch in batches(rows, 2 << 20):
+    for batch in batches(rows, SLICE_BYTES):
         found = own.encode_all([t or "" for t in batch.column(1).to_pylist()])
         ids = np.frombuffer(b"".join(found), np.int32)
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
@@ -251,6 +253,8 @@ def _encode(rows: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator
         cuts = np.concatenate(([0], ends)).astype(np.int32)[offsets]
         texts = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(cuts), pa.py_buffer(decoded)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), texts], ["doc_id", "ids", "decoded"])
+    if len(own) > LEFT_WORDS:  # what this process runs next may be another operator
+        own.clear()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -29,6 +29,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage is a leak.
 LEAST = 0.5
 BLOCK_ITEMS = 20_000
+#: Bytes of rows that are filtered together, about.
+SLICE_BYTES = 2 << 20
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -154,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> D
 
 
 def _clean(rows: Iterator[pa.RecordBatch], items: list, at: int, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows):
+    for batch in batches(rows, SLICE_BYTES):
         yield batch.filter(pa.array([not any(leaks(t, own.value, least) for own in items) for t in text_bytes(batch.column(at))], pa.bool_()))
 
 

@@ -30,6 +30,8 @@ PAD = b"\0" * ORDER
 PER_LANGUAGE = 4000
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
+#: Bytes of text that are held as grams at once, about, and code lengths that are.
+SLICE_BYTES, CELLS = 1 << 20, 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -134,13 +136,19 @@ class Trees:
         return out
 
     def lengths(self, texts: list[bytes | None]) -> np.ndarray:
-        """Bits of each text under each language."""
+        """Bits of each text under each language. Texts are looked up in runs of bounded size, long ones cut from their start on."""
         keys, sizes = grams(texts)
         out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = (np.cumsum(sizes) - sizes)[full]
-            out[full] = np.add.reduceat(self._bits(keys), starts, axis=0, dtype=np.float64)
+        step = max(1, CELLS // max(1, len(self.languages)))
+        parts = -(-sizes // step)
+        of = np.repeat(np.arange(len(texts)), parts)
+        ends = np.cumsum(sizes)
+        start = (ends - sizes)[of] + (np.arange(len(of)) - (np.cumsum(parts) - parts)[of]) * step
+        stop = np.minimum(start + step, ends[of])
+        cuts = np.flatnonzero(np.diff(start // step, prepend=-1, append=-1))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            bits = self._bits(keys[start[x] : stop[y - 1]])
+            np.add.at(out, of[x:y], np.add.reduceat(bits, start[x:y] - start[x], axis=0, dtype=np.float64))
         return out
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
@@ -155,7 +163,7 @@ class Trees:
 
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows, 8 << 20):
+    for batch in batches(rows, 2 * SLICE_BYTES):
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = text_bytes(batch.column(1))
         for lang in sorted(set(langs)):
@@ -191,7 +199,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
 
 
 def _score(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows, 2 << 20):
+    for batch in batches(rows, SLICE_BYTES):
         langs, scores = model.value.predict(text_bytes(batch.column(1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -210,7 +218,7 @@ def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 
 def _keep(rows: Iterator[pa.RecordBatch], model, at: int, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches(rows, 2 << 20):
+    for batch in batches(rows, SLICE_BYTES):
         langs, scores = model.value.predict(text_bytes(batch.column(at)))
         yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in zip(langs, scores, strict=True)]))
 

@@ -97,26 +97,39 @@ def _file(rows: Iterator[pa.RecordBatch], shingle: int, buckets: int) -> Iterato
         sets = [shingles(unpack.decompress(t), shingle) for t in texts]
         n = np.array([len(x) for x in sets], np.int64)
         s, who = np.concatenate(sets), np.repeat(far.astype(np.uint32), n)
-        bucket = (mix(s) % np.uint64(buckets)).astype(np.int64)
-        s = s & np.uint64((1 << 8 * FILED) - 1)
+        del texts, sets  # what follows takes some 40 bytes an entry
+        bucket = (mix(s) % np.uint64(buckets)).astype(np.int32)
+        s &= np.uint64((1 << 8 * FILED) - 1)
         order = np.lexsort((s, bucket))
-        s, who, bucket = s[order], who[order], bucket[order]
-        columns = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1])))
-        held = np.diff(np.append(columns, len(s)))
+        s = s[order]
+        who = who[order]
+        bucket = bucket[order]
+        del order
+        columns = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1]))).astype(np.int32)
+        held = np.diff(np.append(columns, np.int32(len(s))))
         crowd = np.repeat(held > CROWD, held)
         keep = ~crowd
         keep[columns] = True
         out = [(-1, base, b"", far.astype(np.uint32).tobytes(), n.tobytes())]
         if crowd.any():
             out.append((-1, base, _column(s[crowd], bucket[crowd]).tobytes(), who[crowd].tobytes(), b""))
-        count = np.repeat(np.where(held > CROWD, held, 1), held)[keep].astype(np.int32)
+        yield _filed(*zip(*out))
+        count = np.repeat(np.where(held > CROWD, held, np.int32(1)), held)[keep]
         who = np.where(crowd, np.uint32(ALL), who)[keep]
         s, bucket = s[keep], bucket[keep]
+        del out, columns, held, crowd, keep
         cuts = _cuts(bucket)
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            planes = s[x:y].view(np.uint8).reshape(-1, 8)[:, :FILED].T  # sorted, so the first bytes of neighbours are alike
-            out.append((int(bucket[x]), base, planes.tobytes(), who[x:y].tobytes(), count[x:y].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "base", "s", "far", "n"])
+        planes = np.empty(FILED * len(s), np.uint8)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # sorted, so the first bytes of neighbours are alike
+            planes[FILED * x : FILED * y].reshape(FILED, -1)[:] = s[x:y].view(np.uint8).reshape(-1, 8)[:, :FILED].T
+        del s
+        told = bucket[cuts[:-1]]
+        yield _filed(told, np.full(len(told), base), _packed(planes, cuts * FILED), _packed(who, cuts), _packed(count, cuts))
+
+
+def _filed(*columns) -> pa.RecordBatch:
+    kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "base", "s", "far", "n"])
 
 
 def _column(s: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
@@ -132,20 +145,21 @@ def _shared(group: pa.Table) -> pa.Table:
     bucket = group["bucket"][0].as_py()
     if bucket < 0:
         return pa.table([group["base"], group["s"], group["far"], group["n"]], names=["base", "column", "far", "n"])
-    parts = [np.zeros((len(f) // 4, 8), np.uint8) for f in group["far"].to_pylist()]
-    for part, raw in zip(parts, group["s"].to_pylist()):
-        part[:, :FILED] = np.frombuffer(raw, np.uint8).reshape(FILED, -1).T
-    s = np.concatenate(parts).view(np.uint64).ravel()
-    base = np.repeat(group["base"].to_numpy(), [len(p) for p in parts])
     far, n = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("far", np.uint32), ("n", np.int32)))
+    ends = np.cumsum([len(raw) // FILED for raw in group["s"].to_pylist()])
+    s = np.zeros((len(far), 8), np.uint8)
+    for end, raw in zip(ends.tolist(), group["s"].to_pylist()):
+        s[end - len(raw) // FILED : end, :FILED] = np.frombuffer(raw, np.uint8).reshape(FILED, -1).T
+    s = s.view(np.uint64).ravel()
     order = np.argsort(s, kind="stable")
     cuts = _cuts(s[order])
-    total = np.repeat(np.add.reduceat(n[order].astype(np.int64), cuts[:-1]), np.diff(cuts))
+    total = np.repeat(np.add.reduceat(n[order], cuts[:-1], dtype=np.int64), np.diff(cuts))
     order, total = order[total > 1], total[total > 1]
-    back = np.argsort(base[order], kind="stable")
-    order, total = order[back], total[back]
-    cuts = _cuts(base[order])
-    return pa.table([pa.array(base[order][cuts[:-1]]), _packed(_column(s[order], bucket), cuts), _packed(far[order], cuts), _packed(total, cuts)], names=["base", "column", "far", "n"])
+    base = group["base"].to_numpy()[np.searchsorted(ends, order, side="right")]
+    back = np.argsort(base, kind="stable")
+    order, total, base = order[back], total[back], base[back]
+    cuts = _cuts(base)
+    return pa.table([pa.array(base[cuts[:-1]]), _packed(_column(s[order], bucket), cuts), _packed(far[order], cuts), _packed(total, cuts)], names=["base", "column", "far", "n"])
 
 
 def _first(group: pa.Table, percent: int) -> pa.Table:
