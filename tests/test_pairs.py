@@ -10,3 +10,27 @@ def test_ratio_split_multiplies_in_decimals(spark):
     rows = spark.range(90).selectExpr("id as doc_id", "'a' as lang")
     found = catalogue.ratio_split(rows, "lang", "doc_id", 0.7, 0.2)
     assert {r.Split: r["count"] for r in found.groupBy("Split").count().collect()} == {"train": 63, "val": 18, "test": 9}
+
+
+def test_hamming_pairs_of_copies_are_all(spark):
+    random.seed(2)
+    marks = [random.choice([5, 7, 9, 64, 1 << 12]) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(marks)), "vec_id long, s long")
+    want = {(a, b, (marks[a] ^ marks[b]).bit_count()) for a in range(40) for b in range(a + 1, 40) if (marks[a] ^ marks[b]).bit_count() <= 1}
+    got = [tuple(r) for r in curate.hamming_pairs(rows, "vec_id", "s", 1, 24).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+#: Two steps whose roots of summed squares are equal and whose hypot isn't: the first frame is the closest one.
+STEPS = (2.8, 1.0), (2.2, 2.0)
+
+
+def test_equal_distances_go_to_the_first_frame(spark):
+    assert math.sqrt(2.8 * 2.8 + 1.0) == math.sqrt(2.2 * 2.2 + 4.0) and math.hypot(*STEPS[0]) < math.hypot(*STEPS[1])
+    far = [(50.0, 0.0)] * 10
+    data = [(t, f, f * 2 + t, float(x), float(y)) for f, (dx, dy) in enumerate([*far, STEPS[1], STEPS[0], *far]) for t, x, y in ((0, 0, 0), (1, dx, dy))]
+    rows = spark.createDataFrame([*data, (1, 22, 99, 50.0, 0.0)], "TrajectoryID long, FrameID long, DetectionID long, X double, Y double")
+    one = rows.where("TrajectoryID = 0").select("TrajectoryID").distinct()
+    assert [r.ClosestFrame for r in review.local_proximity(rows, one, 9.7, 3).collect()] == [10]
+    assert [r.ClosestFrame for r in pairs.proximity(rows, 9.7, 3).collect()] == [10]
+    assert [r.FrameID for r in review.swap_hypotheses(rows, pairs.track_spans(rows), 12.7).collect()] == [10]

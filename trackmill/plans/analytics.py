@@ -169,7 +169,7 @@ def hamming_pairs(spark, sf):
 @query("hamming_dedup")
 def hamming_dedup(spark, sf):
     rows = _signed(spark, sf)
-    return curate.keep_first(rows, "vec_id", curate.hamming_pairs(rows, "vec_id", "s", 3, 24))
+    return curate.keep_first(rows, "vec_id", curate.hamming_pairs(rows, "vec_id", "s", 3, 24, copies=False))
 
 
 @query("every_nth_frame", with_sql("hourly", """+f AS (SELECT "FrameID", row_number() OVER (ORDER BY "FrameID") - 1 AS i FROM (SELECT DISTINCT "FrameID" FROM hourly)) SELECT "DetectionID", "FrameID" FROM hourly JOIN f USING ("FrameID") WHERE i % 7 = 0"""))
