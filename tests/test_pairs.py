@@ -2,8 +2,9 @@
 
 import math
 import random
+import statistics
 
-from trackmill.operators import catalogue, curate, pairs, review
+from trackmill.operators import blocks, catalogue, curate, events, pairs, review
 
 
 def test_ratio_split_multiplies_in_decimals(spark):
@@ -21,12 +22,12 @@ def test_hamming_pairs_of_copies_are_all(spark):
     assert len(got) == len(want) and set(got) == want
 
 
-#: Two steps whose roots of summed squares are equal and whose hypot isn't: the first frame is the closest one.
-STEPS = (2.8, 1.0), (2.2, 2.0)
+#: Two steps whose roots of summed squares are equal and whose hypot, in Java, is not: the first frame is the closest one.
+STEPS = (3.55, 2.0), (3.95, 1.0)
 
 
 def test_equal_distances_go_to_the_first_frame(spark):
-    assert math.sqrt(2.8 * 2.8 + 1.0) == math.sqrt(2.2 * 2.2 + 4.0) and math.hypot(*STEPS[0]) < math.hypot(*STEPS[1])
+    assert math.sqrt(3.55 * 3.55 + 4.0) == math.sqrt(3.95 * 3.95 + 1.0)
     far = [(50.0, 0.0)] * 10
     data = [(t, f, f * 2 + t, float(x), float(y)) for f, (dx, dy) in enumerate([*far, STEPS[1], STEPS[0], *far]) for t, x, y in ((0, 0, 0), (1, dx, dy))]
     rows = spark.createDataFrame([*data, (1, 22, 99, 50.0, 0.0)], "TrajectoryID long, FrameID long, DetectionID long, X double, Y double")
@@ -34,3 +35,80 @@ def test_equal_distances_go_to_the_first_frame(spark):
     assert [r.ClosestFrame for r in review.local_proximity(rows, one, 9.7, 3).collect()] == [10]
     assert [r.ClosestFrame for r in pairs.proximity(rows, 9.7, 3).collect()] == [10]
     assert [r.FrameID for r in review.swap_hypotheses(rows, pairs.track_spans(rows), 12.7).collect()] == [10]
+
+
+def tracks(seed, n, frames):
+    """Rows (track, frame, detection, x, y) with gaps, few places, so that distances are often equal, and tracks that never meet."""
+    random.seed(seed)
+    out = []
+    for t in range(n):
+        begin = random.randrange(3 * frames)
+        out += [(t, f, t * 1000 + f, random.randrange(120) / 10, float(random.randrange(9))) for f in range(begin, begin + frames) if random.random() < 0.7]
+    return out
+
+
+def met(rows, others, twice=False):
+    """{(a, b): [(frame, distance, relative x)]} of the common frames of all pairs."""
+    out = {}
+    for a, f, _, x, y in rows:
+        for b, g, _, u, v in others:
+            if f == g and (twice or a < b):
+                out.setdefault((a, b), []).append((f, math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), x - u))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+ROWS = "TrajectoryID long, FrameID long, DetectionID long, X double, Y double"
+
+
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 150)
+    monkeypatch.setattr(blocks, "TILE", 4)
+
+
+def makes_no_pairs_of_rows(found):
+    return "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_merge_candidates_by_blocks(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    a, b = tracks(4, 30, 14), tracks(5, 25, 14)
+    want = {k: (len(v), sum(d <= 4.0 for _, d, _ in v)) for k, v in met(a, b, True).items()}
+    found = pairs.merge_candidates(spark.createDataFrame(a, ROWS), spark.createDataFrame(b, ROWS), 4.0, 2)
+    assert {(r.AID, r.BID): (r.Common, r.Agreeing) for r in found.collect()} == {k: v for k, v in want.items() if v[1] >= 2}
+    assert makes_no_pairs_of_rows(found)
+
+
+def test_agreements_hold_the_rows_of_both(spark):
+    a, b = tracks(6, 9, 12), tracks(7, 9, 12)
+    sizes = [{t: sum(r[0] == t for r in side) for t in range(9)} for side in (a, b)]
+    found = pairs.agreements(spark.createDataFrame(a, ROWS), spark.createDataFrame(b, ROWS), 6.0, 1).collect()
+    assert found and all((r.ARows, r.BRows) == (sizes[0][r.AID], sizes[1][r.BID]) for r in found)
+
+
+def test_proximity_by_blocks(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rows = tracks(8, 40, 14)
+    least = {k: (len(v), *min((d, f) for f, d, _ in v)) for k, v in met(rows, rows).items()}
+    want = {k: v for k, v in least.items() if v[0] >= 3 and v[1] < 2.0}
+    table = spark.createDataFrame(rows, ROWS)
+    found = pairs.proximity(table, 2.0, 3)
+    assert {(r.AID, r.BID): (r.Common, r.MinDistance, r.ClosestFrame) for r in found.collect()} == want
+    assert makes_no_pairs_of_rows(found)
+    some = {k: v for k, v in want.items() if k[0] % 3 == 0 or k[1] % 3 == 0}
+    near = review.local_proximity(table, table.where("TrajectoryID % 3 = 0").select("TrajectoryID"), 2.0, 3).collect()
+    assert len(near) == len(some) and {(r.AID, r.BID): (r.Common, r.MinDistance, r.ClosestFrame) for r in near} == some
+
+
+def test_crossings_by_blocks(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rows = tracks(9, 40, 14)
+    want = {}
+    for k, v in met(rows, rows).items():
+        d, f = min((d, f) for f, d, _ in v)
+        if len(v) >= 3 and d < 2.0:
+            at = [x[0] for x in v].index(f)
+            sides = [[x[2] for x in part] for part in (v[max(0, at - 4) : at], v[at + 1 : at + 5])]
+            want[k] = (f, d, all(sides) and statistics.median(sides[0]) * statistics.median(sides[1]) < 0)
+    found = events.crossings(spark.createDataFrame(rows, ROWS), 2.0, 4, 3)
+    assert {(r.AID, r.BID): (r.ClosestFrame, r.MinDistance, r.Crossed) for r in found.collect()} == want
+    assert makes_no_pairs_of_rows(found) and {v[2] for v in want.values()} == {True, False}
