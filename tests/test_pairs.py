@@ -5,6 +5,7 @@ import random
 import statistics
 
 from trackmill.operators import blocks, catalogue, curate, events, pairs, review
+from trackmill.operators import spans as ends
 
 
 def test_ratio_split_multiplies_in_decimals(spark):
@@ -112,3 +113,113 @@ def test_crossings_by_blocks(spark, monkeypatch):
     found = events.crossings(spark.createDataFrame(rows, ROWS), 2.0, 4, 3)
     assert {(r.AID, r.BID): (r.ClosestFrame, r.MinDistance, r.Crossed) for r in found.collect()} == want
     assert makes_no_pairs_of_rows(found) and {v[2] for v in want.values()} == {True, False}
+
+
+def greedy(edges):
+    """Of (a, b, cost, key of order) the greedy matches: lowest order first."""
+    found, seen = [], set()
+    for a, b, cost in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if not seen & {("l", a), ("r", b)}:
+            seen |= {("l", a), ("r", b)}
+            found.append((a, b, cost))
+    return found
+
+
+def test_tracks_match_by_bands_as_over_all_candidates(spark, monkeypatch):
+    a, b = tracks(10, 30, 14), tracks(11, 25, 14)
+    b += [(100 + t, f, d, x + 0.5, y) for t, f, d, x, y in a if t % 3 == 0]
+    agree = {k: sum(d <= 4.0 for _, d, _ in v) for k, v in met(a, b, True).items()}
+    want = {(x, y, -c) for x, y, c in greedy([(x, y, -n) for (x, y), n in agree.items() if n >= 2])}
+    made = []
+    monkeypatch.setattr(pairs, "greedy_matches", lambda found, *more, real=pairs.greedy_matches: made.append(found.count()) or real(found, *more))
+    got = pairs.match_tracks(spark.createDataFrame(a, ROWS), spark.createDataFrame(b, ROWS), 4.0, 2).collect()
+    assert {(r.AID, r.BID, r.Agreeing) for r in got} == want and len(made) > 1
+    assert sum(made) < sum(n >= 2 for n in agree.values())
+
+
+def test_assignment_by_bands_equals_that_of_all_pairs(spark, monkeypatch):
+    random.seed(12)
+    side = [[(f, n, random.randrange(80) / 10, random.randrange(80) / 10) for f in range(3) for n in range(120)] for _ in "ab"]
+    want, every = set(), 0
+    for f in range(3):
+        edges = [(a, b, math.sqrt((x - u) ** 2 + (y - v) ** 2)) for g, a, x, y in side[0] for h, b, u, v in side[1] if g == h == f]
+        edges = [e for e in edges if e[2] < 5.0]
+        every += len(edges)
+        want |= {(f, *e) for e in greedy(edges)}
+    made = []
+    monkeypatch.setattr(pairs, "assign_greedily", lambda costs, cull, real=pairs.assign_greedily: made.append(costs.count()) or real(costs, cull))
+    a, b = (spark.createDataFrame(rows, f"FrameID long, {p}ID long, {p}X double, {p}Y double") for rows, p in zip(side, "AB", strict=True))
+    got = pairs.assign_nearest(a, b, 5.0).collect()
+    assert {(r.FrameID, r.TrackID, r.DetectionID) for r in got} == {w[:3] for w in want} and len(made) > 1
+    assert sum(made) * 4 < every
+
+
+SPANS = "TrajectoryID long, BirthFrame long, BirthX double, BirthY double, DeathFrame long, DeathX double, DeathY double, VX double, VY double, Rows long"
+
+
+def some_spans(n):
+    random.seed(13)
+    place = lambda: float(random.randrange(-20, 20))
+    return [(i, b, place(), place(), b + random.randrange(12), place(), place(), random.choice([0.0, 0.5, -1.0]), random.choice([0.0, 1.0]), 9) for i in range(n) for b in [random.randrange(-30, 60)]]
+
+
+def of_ends(spans, low, high, far):
+    """(source, target, gap, distance, predicted) over every pair."""
+    out = []
+    for s, _, _, _, df, dx, dy, vx, vy, _ in spans:
+        for t, bf, bx, by, *_ in spans:
+            gap, d = bf - df, math.sqrt((bx - dx) ** 2 + (by - dy) ** 2)
+            if s != t and low <= gap <= high and d <= far:
+                out.append((s, t, gap, d, math.sqrt((bx - dx - vx * gap) ** 2 + (by - dy - vy * gap) ** 2)))
+    return out
+
+
+def test_pairs_of_ends_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(ends, "SOURCES", 5)
+    monkeypatch.setattr(ends, "PAIRS", 40)
+    rows = some_spans(120)
+    spans = spark.createDataFrame(rows, SPANS)
+    last = max(r[4] for r in rows)
+    want = [x for x in of_ends([r for r in rows], -5, 20, 15.0) if rows[x[0]][4] < last]
+    found = pairs.merge_hypotheses(spans, None, 5, 20, 15.0)
+    got = {(r.SourceID, r.TargetID): r for r in found.collect()}
+    assert {(s, t, g, d, p) for s, t, g, d, p in want} == {(r.SourceID, r.TargetID, r.Gap, r.Distance, r.Predicted) for r in got.values()}
+    for s in {x[0] for x in want}:
+        order = sorted((p, t) for a, t, _, _, p in want if a == s)
+        assert [got[s, t].Rank for _, t in order] == list(range(1, len(order) + 1))
+    near = {}
+    for s, t, g, d, _ in of_ends(rows, 1, 6, 25.0):
+        near[s] = min(near.get(s, (math.inf,)), (d, t, g))
+    stitched = pairs.stitch_links(spans, 6, 25.0)
+    assert {(r.SourceID, r.Distance, r.TargetID, r.Gap) for r in stitched.collect()} == {(s, *v) for s, v in near.items()}
+    linked = {}
+    for s, t, g, d, _ in of_ends(rows, -8, 12, 14.0):
+        if d < 14.0 and (s < t or (t, s) not in linked):
+            linked[min(s, t), max(s, t)] = (g, d) if s < t else linked.get((t, s), (g, d))
+    links = events.endpoint_links(spans, -8, 12, 14.0)
+    both = links.collect()
+    assert len(both) == len(linked) and {(r.AID, r.BID): (r.Gap, r.Distance) for r in both} == linked
+    assert all("Window" not in f._jdf.queryExecution().toString() for f in (found, stitched, links))
+
+
+def test_relinks_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(ends, "SOURCES", 5)
+    monkeypatch.setattr(ends, "PAIRS", 40)
+    rows = some_spans(120)
+    want = set()
+    for s, t, g, d, p in of_ends(rows, 2, 31, math.inf):
+        (vx, vy), (wx, wy) = rows[s][7:9], rows[t][7:9]
+        turn = abs((math.atan2(vy, vx) - math.atan2(wy, wx) + math.pi) % (2 * math.pi) - math.pi) if math.hypot(vx, vy) > 0 and math.hypot(wx, wy) > 0 else 0.0
+        if d <= 100.0 * g and p <= 12.0 and turn <= math.pi / 3:
+            want.add((s, t, g - 1, round(p / 12.0 + 0.25 * (g - 1) / 30 + 0.35 * turn / (math.pi / 3), 9)))
+    found = events.relink_candidates(spark.createDataFrame(rows, SPANS), reach=12.0)
+    assert {(r.SourceID, r.TargetID, r.Gap, round(r.Score, 9)) for r in found.collect()} == want
+    assert "_bucket" not in found._jdf.queryExecution().toString()
+
+
+def test_hypotheses_are_dealt_to_parts(spark):
+    rows = some_spans(120)
+    spans = spark.createDataFrame(rows, SPANS)
+    found = pairs.hypotheses(spans, spans, 5, 20, 15.0)
+    assert {tuple(r) for r in found.collect()} == {(s, t, p) for s, t, _, _, p in of_ends(rows, -5, 20, 15.0)}
+    assert "_part" in found._jdf.queryExecution().toString()
