@@ -7,7 +7,7 @@ import statistics
 import numpy as np
 import pytest
 
-from trackmill.operators import blocks, catalogue, curate, events, frames, pairs, review
+from trackmill.operators import blocks, catalogue, curate, events, frames, pairs, resolve, review
 from trackmill.operators import spans as ends
 
 
@@ -300,3 +300,22 @@ def test_shuffles_of_one_long_component(spark):
         if len(held) > 1 and len(every) > 2:
             want.append((seed, min(r[1] for r in held), max(r[2] for r in held), every, len(held)))
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_agreeing_pairs_by_blocks(spark, monkeypatch):
+    """Frames of one detection agree at any distance; two of them stand for half the frames."""
+    small_blocks(monkeypatch)
+    rows = tracks(19, 40, 14)
+    rows = [(t, f, f if t % 4 == 0 and f % 3 == 0 else d, x, y) for t, f, d, x, y in rows]
+    named = {(t, f): d for t, f, d, _, _ in rows}
+    want = {}
+    for (a, b), v in met(rows, rows).items():
+        same = sum(named[a, f] == named[b, f] for f, _, _ in v)
+        agree = sum(d <= 6.0 or named[a, f] == named[b, f] for f, d, _ in v)
+        if len(v) >= 4 and (agree >= 2 if same >= 2 else agree >= 4 and agree >= len(v) / 2):
+            want[a, b] = (len(v), agree, same)
+    calls = []
+    monkeypatch.setattr(blocks, "compare", lambda *more, real=blocks.compare: calls.append(1) or real(*more))
+    found = resolve.agreeing_pairs(spark.createDataFrame(rows, ROWS), 6.0, 4).collect()
+    assert len(found) == len(want) and {(r.AID, r.BID): (r.Common, r.Agreeing, r.SameID) for r in found} == want
+    assert calls and {v[2] > 1 for v in want.values()} == {True, False}
